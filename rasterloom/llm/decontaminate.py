@@ -133,7 +133,7 @@ def _sequence(col) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     h = np.zeros(len(starts) + len(n), T.U64)
     to = np.arange(len(starts)) + owner
     if len(starts):
-        h[to] = T.spans(T.prefix_hash(buf, fold=True), starts, ends)
+        h[to] = T.hashes(buf, starts, ends, fold=True)
     return h, np.repeat(np.arange(len(n)), n + 1), np.cumsum(n + 1) - (n + 1), n
 
 

@@ -7,7 +7,6 @@ window ever crosses from one text into the next.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,25 +32,10 @@ _RNG = np.random.default_rng(20240917)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _BYTE_FOLDED = _BYTE[_FOLD]
 _MUL = U64(0x9E3779B97F4A7C15)
-_INV = U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_POWERS = np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full((1 << 16) - 1, _MUL, U64)]))
 
-
-@lru_cache(2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for m in (_MUL, _INV):
-        p = np.full(n, m, U64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash multiplier and of its inverse, for buffers of n bytes at least."""
-    size = 1 << 16
-    while size < n:
-        size <<= 1
-    return _powers(size)
+#: Bytes that are hashed at once, so that the intermediate arrays stay in the processor's cache.
+_CHUNK = 1 << 17
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,18 +88,30 @@ def words(buf: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends if len(ends) == len(starts) else np.append(ends, len(buf))
 
 
-def prefix_hash(buf: np.ndarray, fold: bool) -> np.ndarray:
-    """c, so that spans(c, starts, ends) hashes any parts of the buffer; fold lower-cases A-Z."""
-    c = np.zeros(len(buf) + 1, U64)
-    np.cumsum((_BYTE_FOLDED if fold else _BYTE)[buf] * powers(len(buf))[0][: len(buf)], out=c[1:])
-    return c
-
-
-def spans(c: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes, never 0, of the parts [start, end); equal bytes have equal hashes."""
-    h = mix((c[ends] - c[starts]) * powers(len(c))[1][starts])
-    h[h == 0] = 1
-    return h
+def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
+    """64-bit hashes, never 0, of the parts [start, end): equal bytes have equal hashes. fold lower-cases A-Z."""
+    value = _BYTE_FOLDED if fold else _BYTE
+    n = ends - starts
+    out = np.zeros(len(n), U64)
+    total = np.cumsum(n)
+    cuts = np.flatnonzero(np.diff(total // _CHUNK)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(n)]):
+        m = n[lo:hi]
+        full = np.flatnonzero(m)
+        if not len(full):
+            continue
+        m = m[full]
+        first = np.cumsum(m) - m
+        at = np.arange(first[-1] + m[-1]) - np.repeat(first, m)
+        v = value[buf[at + np.repeat(starts[lo:hi][full], m)]]
+        if int(m.max()) > len(_POWERS):
+            v *= mix((at >> 16).astype(U64)) | U64(1)
+            at &= len(_POWERS) - 1
+        v *= _POWERS[at]
+        out[lo + full] = np.add.reduceat(v, first)
+    out = mix(out)
+    out[out == 0] = 1
+    return out
 
 
 def per_text(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
