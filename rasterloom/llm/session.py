@@ -19,14 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The rows, written as Parquet to the shared folder and read back: cuts lineage, survives executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    w = df.write
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
