@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, tokens, toxicity
+from . import chat, decontaminate, licenses, quality, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_table(spark, sf_dir, "documents"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.report_with_planted(_table(spark, sf_dir, "conversations"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -32,8 +40,74 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op5_token_blocks, op9_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontaminate, op5_token_blocks, op6_license_scan, op7_chat_format, op9_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_license_scan": licenses_sql(), "op7_chat_format": CHAT_SQL}
+
+
+CHAT_SQL = r"""
+WITH rows AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), ordered AS (
+  SELECT *, row_number() OVER w AS pos, lag(role) OVER w AS before,
+    replace(replace(replace(text, '\', '\\'), '<|', '<\|'), '|>', '|\>') AS safe,
+    replace(replace(replace(role, '\', '\\'), '<|', '<\|'), '|>', '|\>') AS safe_role
+  FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), joined AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos) AS turns,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY pos), '') AS loss,
+    sum(length(safe) + CASE WHEN before = role THEN length('<|turn|>') ELSE length(safe_role) + 4 + CASE WHEN before IS NULL THEN 0 ELSE length('<|end|>') END END) + length('<|end|>') AS formatted_chars
+  FROM ordered GROUP BY conv_id
+)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+  sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM joined
+"""
+
+
+def licenses_sql() -> str:
+    rows = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(licenses.TEMPLATES))
+    return f"""
+WITH templates(id, license, wording) AS (VALUES {rows}),
+template_words AS (SELECT id, unnest(regexp_extract_all(lower(wording), '[a-z0-9]+')) AS w FROM templates),
+vocabulary AS (SELECT DISTINCT w FROM template_words),
+files AS (
+  SELECT CAST(doc_id AS BIGINT) AS doc_id, text, {licenses.PATH_SQL} AS path FROM documents
+), marked AS (SELECT *, regexp_matches(path, '(^|/)(LICENSE|LICENCE|COPYING)(\\.[A-Za-z]+)?$') AS holder, regexp_replace(path, '/?[^/]*$', '') AS dir FROM files),
+document_words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(translate(text, '{licenses._AZ}', '{licenses._az}'), '[a-z0-9]+')) AS w FROM files),
+idf AS (
+  SELECT v.w, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(d.doc_id))) + 1 AS idf
+  FROM vocabulary v LEFT JOIN document_words d ON v.w = d.w GROUP BY v.w
+), template_weights AS (
+  SELECT id, w, count(*) * any_value(idf) AS x FROM template_words JOIN idf USING (w) GROUP BY id, w
+), template_norms AS (SELECT id, sqrt(sum(x * x)) AS norm FROM template_weights GROUP BY id),
+units AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM files
+  UNION ALL SELECT doc_id, text FROM marked WHERE holder
+), numbered AS (SELECT row_number() OVER () AS u, doc_id, regexp_extract_all(translate(unit, '{licenses._AZ}', '{licenses._az}'), '[a-z0-9]+') AS ws FROM units),
+unit_words AS (SELECT u, doc_id, len(ws) AS n, unnest(ws) AS w FROM numbered),
+unit_weights AS (SELECT u, any_value(doc_id) AS doc_id, any_value(n) AS n, w, count(*) AS k, count(*) * any_value(idf) AS x FROM unit_words JOIN idf USING (w) GROUP BY u, w),
+unit_norms AS (SELECT u, any_value(doc_id) AS doc_id, sqrt(sum(x * x)) AS norm FROM unit_weights GROUP BY u HAVING sum(k) >= {licenses.SHARE} * any_value(n)),
+cosines AS (
+  SELECT n.doc_id, t.license, round(sum(a.x * b.x) / any_value(n.norm) / any_value(m.norm), 6) AS cosine
+  FROM unit_norms n JOIN unit_weights a USING (u) JOIN template_weights b ON a.w = b.w JOIN template_norms m ON m.id = b.id JOIN templates t ON t.id = b.id
+  GROUP BY n.u, n.doc_id, t.id, t.license
+), own AS (
+  SELECT doc_id, license AS own_license, cosine FROM cosines WHERE cosine >= {licenses.COSINE}
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license DESC) = 1
+), scanned AS (SELECT m.*, own_license, cosine FROM marked m LEFT JOIN own USING (doc_id)),
+holders AS (
+  SELECT dir AS above, own_license AS license FROM scanned WHERE holder AND own_license IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, own_license DESC) = 1
+), nearest AS (
+  SELECT s.doc_id, h.above, h.license FROM scanned s JOIN holders h ON s.own_license IS NULL AND (h.above = '' OR s.dir = h.above OR starts_with(s.dir, h.above || '/'))
+  QUALIFY row_number() OVER (PARTITION BY s.doc_id ORDER BY length(h.above) DESC) = 1
+)
+SELECT s.doc_id, s.path, s.own_license, s.cosine, coalesce(s.own_license, n.license) AS license,
+  CASE WHEN s.own_license IS NOT NULL THEN 'own' WHEN n.license IS NOT NULL THEN 'directory' ELSE 'none' END AS basis, n.above AS licence_dir
+FROM scanned s LEFT JOIN nearest n USING (doc_id)
+"""
