@@ -31,7 +31,10 @@ from .session import dropped, shared_dir, stored
 END, MAX_BITS, LANE, BLOCK_IDS = 0, 20, 1024, 1 << 16
 
 #: Pieces that a worker keeps before it starts anew; only speed depends on it.
-KEPT_PIECES = 1 << 20
+KEPT_PIECES = 3 << 20
+
+#: Blocks that are decoded side by side.
+ABREAST = 32
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[10, 32]] = True
@@ -50,8 +53,11 @@ def pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     before, after = buf[at - 1], buf[at + 1]
     at = at[_visible(buf[at - 2], before) & (((after > 32) & (after < 127)) | ((after >= 0xC3) & (after <= 0xDF)))]
     ends = off[1:] - 1
-    at = at[~np.isin(at, ends)]
-    starts = np.unique(np.concatenate([at, at[buf[at] == 10] + 1, off[:-1]]))
+    last = np.zeros(len(buf), bool)
+    last[ends] = True
+    at = at[~last[at]]
+    starts = np.sort(np.concatenate([at, at[buf[at] == 10] + 1, off[:-1]]))
+    starts = starts[np.concatenate([[True], starts[1:] != starts[:-1]])] if len(starts) else starts
     stops = np.append(starts[1:], len(buf))
     own = np.searchsorted(off, starts, "right") - 1
     stops = np.minimum(stops, ends[own])
@@ -83,26 +89,44 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all parts in turn, and how many each has. Parts that begin and end visibly are joined to long texts."""
-        joint = [(p[0] == 32 or p[0] > 32 and p[0] < 127 or 0xC3 <= p[0] <= 0xDF) and len(p) > 1 and (32 < p[-1] < 127 or p[-1] >= 128 and 0xC3 <= p[-2] <= 0xDF) and (p[0] != 32 or 32 < p[1] < 127 or 0xC3 <= p[1] <= 0xDF) and b"<|" not in p for p in parts]
-        out: list = [None] * len(parts)
-        lone = [i for i, j in enumerate(joint) if not j]
-        for i, ids in zip(lone, self._plain([parts[i].decode() for i in lone])):
-            out[i] = ids
-        for spaced in (True, False):
-            own = [i for i, j in enumerate(joint) if j and (parts[i][0] == 32) == spaced]
-            for lo in range(0, len(own), 4096):
-                group = own[lo : lo + 4096]
-                ids = self._plain([(b"" if spaced else b"\n").join([b"", *(parts[i] for i in group)]).decode()])[0]
-                end = np.cumsum(self.width[ids])
-                size = np.cumsum([len(parts[i]) + (not spaced) for i in group])
-                cut = np.searchsorted(end, size) + 1
-                if len(ids) and (end[cut - 1] != size).any():
+    def _encode(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of the parts, their ids in that order, and how many each has. Parts that begin and end visibly are
+        joined to long texts, between which the tokenizer splits anyway."""
+        n = ends - starts
+        two = np.maximum(ends - 2, 0)
+        head, after = buf[starts], buf[np.minimum(starts + 1, len(buf) - 1)]
+        opens = lambda x: ((x > 32) & (x < 127)) | ((x >= 0xC3) & (x <= 0xDF))
+        spaced = head == 32
+        joint = (n > 1) & _visible(buf[two], buf[ends - 1]) & np.where(spaced, opens(after), opens(head))
+        bar = np.flatnonzero((buf[:-1] == 60) & (buf[1:] == 124))  # what may begin a special token is encoded by itself
+        if len(bar):
+            joint &= np.searchsorted(bar, starts) == np.searchsorted(bar, ends)
+        order, ids, counts = [], [], []
+        for own, gap in ((np.flatnonzero(joint & spaced), 0), (np.flatnonzero(joint & ~spaced), 1)):
+            for lo in range(0, len(own), 8192):
+                group = own[lo : lo + 8192]
+                at, owner = T.ranges(starts[group] - gap, ends[group])
+                raw = buf[at]
+                size = n[group] + gap
+                if gap:
+                    raw[np.cumsum(size) - size] = 10
+                got = np.array(self._plain([raw.tobytes().decode()])[0], np.int64)
+                end, want = np.cumsum(self.width[got]), np.cumsum(size)
+                cut = np.searchsorted(end, want) + 1
+                if (end[np.minimum(cut, len(end)) - 1] != want).any():
                     raise ValueError("a token crosses pieces")
-                for i, x, y in zip(group, [0, *cut.tolist()], cut.tolist()):
-                    out[i] = ids[x + (not spaced) : y]
-        return np.array([x for ids in out for x in ids], self.dtype), np.array([len(x) for x in out], np.int64)
+                per = np.diff(cut, prepend=0)
+                if gap:
+                    got = np.delete(got, cut - per)
+                order.append(group)
+                ids.append(got.astype(self.dtype))
+                counts.append(per - gap)
+        lone = np.flatnonzero(~joint)
+        plain = self._plain([buf[x:y].tobytes().decode() for x, y in zip(starts[lone].tolist(), ends[lone].tolist())])
+        order.append(lone)
+        ids.append(np.array([x for g in plain for x in g], self.dtype))
+        counts.append(np.array([len(g) for g in plain], np.int64))
+        return np.concatenate(order), np.concatenate(ids), np.concatenate(counts)
 
     def __call__(self, col) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of an Arrow column, each with the end id, and how many each text has."""
@@ -116,9 +140,8 @@ class Encoder:
         known[known] = self.keys[slot[known]] == keys[known]
         new = np.flatnonzero(~known)
         if len(new):
-            raw = buf.tobytes()
-            ids, n = self._encode([raw[x:y] for x, y in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
-            k = np.concatenate([self.keys, keys[new]])
+            turn, ids, n = self._encode(buf, starts[first[new]], ends[first[new]])
+            k = np.concatenate([self.keys, keys[new[turn]]])
             o = T.order(k)
             self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(n) - n])[o]
             self.n = np.concatenate([self.n, n])[o]
@@ -320,16 +343,19 @@ def read(spark, path: str, lengths: np.ndarray) -> DataFrame:
         lens, bases = shared.value
         code = Code(lens)
         for b in batches:
-            for r in b.to_pylist():
-                n = np.array(r["n_tokens"], np.int64)
+            for lo in range(0, b.num_rows, ABREAST):
+                part = b.slice(lo, ABREAST).to_pylist()
+                n = np.concatenate([np.array(r["n_tokens"], np.int64) for r in part])
+                first = np.cumsum([0, *(len(r["payload"]) for r in part)])
+                bits = np.concatenate([np.array(r["lane_bits"], np.int64) + 8 * f for r, f in zip(part, first)])
                 lanes = (n + LANE - 1) // LANE
                 counts = np.full(lanes.sum(), LANE)
                 counts[np.cumsum(lanes) - 1] = n - (lanes - 1) * LANE
-                raw = code.decode(r["payload"], np.array(r["lane_bits"], np.int64), counts).astype("<u4").tobytes()
+                raw = code.decode(b"".join(r["payload"] for r in part), bits, counts).astype("<u4").tobytes()
                 end = np.cumsum(n)
-                start = end - n
+                start = np.concatenate([np.cumsum(r["n_tokens"]) - r["n_tokens"] + r["before"] + bases[r["part"]] for r in part])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc_ids"], pa.int64()), pa.array(start + r["before"] + bases[r["part"]], pa.int64()), pa.array(n, pa.int64()), pa.array([raw[4 * x : 4 * y] for x, y in zip(start.tolist(), end.tolist())], pa.binary())],
+                    [pa.array([d for r in part for d in r["doc_ids"]], pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array([raw[4 * x : 4 * y] for x, y in zip((end - n).tolist(), end.tolist())], pa.binary())],
                     ["doc_id", "start", "n_tokens", "ids"],
                 )
 
