@@ -40,7 +40,7 @@ RUNS = math.ceil(math.log(1 - RECALL) / math.log(MISS))
 #: Further min-hashes, of which nodes choose BRANCH.
 POOL = 24
 
-#: Members up to which a node is a leaf; share of equal samples from which its members are alike.
+#: Members up to which a node is a leaf; chance of two members to have an equal sample from which they are alike.
 LEAF, ALIKE = 200, 0.5
 
 #: Members and shingles of a block at most, on average.
@@ -139,14 +139,15 @@ def _leaves(sets: DataFrame) -> DataFrame:
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.bit_xor(F.xxhash64("sid")).alias("print")).where("n > 1")
         large = nodes.where(F.col("n") > LEAF).select("node", "n", "shingles", "print") if depth < DEPTH - 1 else None
         if large is not None:
-            picks = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BRANCH - 1)), lambda k: F.pmod(F.xxhash64("node", k), F.lit(POOL)))).alias("pick")
+            pick = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(POOL)).cast("int")
+            value = lambda k: F.get("mins", F.lit(RUNS) + pick(k))
             members = rows.join(large.select("node", "n"), "node").join(sets.select("sid", "mins"), "sid")
-            children = stored(members.select("node", "n", "sid", "size", "mins", picks).select("node", "n", "pick", "sid", "size", F.xxhash64("node", "pick", F.get("mins", (F.col("pick") + RUNS).cast("int"))).alias("child")))
-            split = children.groupBy("node", "n", "pick", "child").agg(F.count("*").alias("m"))
-            alike = split.groupBy("node", "n").agg((F.sum(F.col("m") * F.col("m")) / F.first("n") / F.first("n") / F.count_distinct("pick")).alias("share")).where(F.col("share") >= ALIKE).select("node")
-            alike = stored(alike)
+            members = stored(members.select("node", "n", "sid", "size", *(F.xxhash64("node", F.lit(k), value(k)).alias(f"child{k}") for k in range(BRANCH))))
+            split = members.groupBy("node", "n", "child0").agg(F.count("*").alias("m"))
+            alike = stored(split.groupBy("node", "n").agg((F.sum(F.col("m") * F.col("m")) / F.first("n") / F.first("n")).alias("share")).where(F.col("share") >= ALIKE).select("node"))
             leaf = nodes.where(F.col("n") <= LEAF).unionByName(large.join(alike, "node"))
-            deeper = children.join(alike, "node", "left_anti").select(F.col("child").alias("node"), "sid", "size").distinct()
+            children = F.explode(F.array(*(f"child{k}" for k in range(BRANCH)))).alias("node")
+            deeper = members.join(alike, "node", "left_anti").select("sid", "size", children).distinct()
         else:
             leaf, deeper = nodes, None
         found = rows.select("node", "sid").join(leaf, "node")
