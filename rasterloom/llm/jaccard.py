@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .filters import bitmap, passes
 from .session import stored
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -102,12 +103,8 @@ def _sketched(batches) -> Iterator[pa.RecordBatch]:
 
 def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """sid and shingles of the wanted (sid, rep); the texts are read again, and a bounded bit filter spares the others."""
-    bit = F.pmod(F.xxhash64("sid", "rep"), F.lit(1 << FILTER_BITS))
-    words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 AS int))")).alias("bits"))
-    rows = words.toPandas()  # 2^18 rows at most
-    bitmap = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    bitmap[rows.word.to_numpy(np.int64)] = rows.bits.to_numpy(np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    key = F.xxhash64("sid", "rep").alias("key")
+    shared = bitmap(wanted.select(key), "key", FILTER_BITS)
 
     def run(batches):
         for b in T.slices(batches):
@@ -118,13 +115,11 @@ def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             )
 
     def kept(batches):
-        seen = shared.value
         for b in batches:
-            bits = b.column("bit").to_numpy()
-            yield b.filter(pa.array((seen[bits >> 6] >> (bits & 63)) & 1 == 1))
+            yield b.filter(pa.array(passes(shared.value, b.column("key").to_numpy())))
 
-    all_rows = docs.mapInArrow(run, "rep long, sid long, shingles binary").withColumn("bit", bit)
-    some = all_rows.mapInArrow(kept, all_rows.schema).drop("bit")
+    all_rows = docs.mapInArrow(run, "rep long, sid long, shingles binary").withColumn("key", key)
+    some = all_rows.mapInArrow(kept, all_rows.schema).drop("key")
     same = (F.col("a.sid") == F.col("b.sid")) & F.col("a.rep").eqNullSafe(F.col("b.rep"))
     return some.alias("a").join(wanted.alias("b"), same, "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles"))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, language_model, licenses, quality, repeats, tokens, toxicity
+from . import chat, decontaminate, jaccard, language_model, licenses, mixing, quality, repeats, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +44,20 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report_with_planted(_table(spark, sf_dir, "conversations"))
 
 
+#: Weights that the domains, here the languages of labelled documents, shall have among all words.
+TARGETS = {"en": 0.4, "de": 0.25, "fr": 0.2, "es": 0.15}
+
+
+def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id and label of the documents that the labels table knows."""
+    return docs.select("doc_id", F.col("lang").alias("label")).join(labels.select("doc_id").distinct(), "doc_id")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return mixing.report(docs, labelled_domains(docs, _table(spark, sf_dir, "labels")), TARGETS)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -52,7 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard_join, op3_pitman_yor, op4_repeats, op5_token_blocks, op6_license_scan, op7_chat_format, op9_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard_join, op3_pitman_yor, op4_repeats, op5_token_blocks, op6_license_scan, op7_chat_format, op8_mixing, op9_quality_rules, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

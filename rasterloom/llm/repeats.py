@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .filters import bitmap, passes
 from .session import stored
 
 LENGTH, WIDTH = 100, 32
@@ -104,20 +105,6 @@ class Anchors:
         return self.first - self.off[self.owner]
 
 
-def _bitmap(df: DataFrame, key: str, bits: int):
-    """A broadcast filter of 2^bits bits with the low bits of all keys set."""
-    slot = f"({key} & {(1 << bits) - 1}L)"
-    rows = df.select(F.expr(f"shiftright({slot}, 6)").alias("word"), F.expr(f"shiftleft(1L, cast({slot} & 63L AS int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    words = np.zeros(max(1, 1 << (bits - 6)), np.int64)
-    words[rows.word.to_numpy(np.int64)] = rows.bits.to_numpy(np.int64)
-    return df.sparkSession.sparkContext.broadcast(words)
-
-
-def _in(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = (keys.view(np.int64) & (len(words) * 64 - 1)).astype(np.int64)
-    return (words[slot >> 6] >> (slot & 63)) & 1 == 1
-
-
 def _place(rk: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return T.mix(rk.view(T.U64) + pos.astype(T.U64) * T.U64(0x9E3779B97F4A7C15)).view(np.int64)
 
@@ -139,10 +126,10 @@ def _contexts(docs: DataFrame, filtered, by: str, with_bytes: bool = False) -> D
             a = Anchors(b.column("text"))
             rk = b.column("rk").to_numpy()
             if by == "fp":
-                a.keep(_in(words, a.fp))
+                a.keep(passes(words, a.fp))
             place = _place(rk[a.owner], a.pos)
             if by == "place":
-                mask = _in(words, place)
+                mask = passes(words, place)
                 a.keep(mask)
                 place = place[mask]
             ctx = T.hashes(a.buf, a.first, a.ends, fold=False)
@@ -163,7 +150,7 @@ def _strings(docs: DataFrame, filtered) -> DataFrame:
         words = filtered.value
         for b in T.slices(batches, size=1 << 20):
             a = Anchors(b.column("text"))
-            a.keep(_in(words, a.fp))
+            a.keep(passes(words, a.fp))
             p, owner = T.ranges(a.first, a.first + a.count)
             text = a.owner[owner]
             h = T.mix(a.h64[p] * _STEP[0] + a.h64[p + LENGTH - 64])
@@ -294,7 +281,7 @@ def _indexed(batches) -> Iterator[pa.RecordBatch]:
 def marks(docs: DataFrame) -> DataFrame:
     """rk, start and end of ranges of bytes that repeat; docs has doc_id, rk and text."""
     hashes = docs.select("text").mapInArrow(_anchor_hashes, "fp long")
-    repeated = _bitmap(hashes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1"), "fp", ANCHOR_BITS)
+    repeated = bitmap(hashes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1"), "fp", ANCHOR_BITS)
     found = stored(_contexts(docs, repeated, "fp"))
     first = F.min(F.struct("doc_id", "rk", "pos", "place")).alias("first")
     groups = stored(found.groupBy("fp", "ctx").agg(first, F.count("*").alias("n")))
@@ -302,13 +289,13 @@ def marks(docs: DataFrame) -> DataFrame:
     out = later.select("rk", F.col("pos").alias("start"), (F.col("pos") + F.col("n") + (LENGTH - 1)).alias("end"))
     different = groups.groupBy("fp").agg(F.count("*").alias("contexts")).where("contexts > 1")
     several = groups.join(different.where(F.col("contexts") <= SHARD_CONTEXTS), "fp").select(F.col("first.place").alias("place"))
-    wanted = _bitmap(several, "place", CONTEXT_BITS)
+    wanted = bitmap(several, "place", CONTEXT_BITS)
     texts = _contexts(docs, wanted, "place", with_bytes=True).join(several, "place", "left_semi").dropDuplicates(["place"])
     sorted_rows = texts.select("fp", "doc_id", "rk", "pos", "bytes").repartition("fp").sortWithinPartitions("fp", "doc_id", "rk", "pos")
     out = out.unionByName(sorted_rows.mapInArrow(_indexed, "rk long, start long, end long"))
     large = stored(different.where(F.col("contexts") > SHARD_CONTEXTS))
     if large.take(1):
-        single = stored(_strings(docs, _bitmap(large, "fp", ANCHOR_BITS)))
+        single = stored(_strings(docs, bitmap(large, "fp", ANCHOR_BITS)))
         origin = single.groupBy("key").agg(F.min(F.struct("doc_id", "rk", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
         again = single.join(origin, "key").where("rk != first.rk OR pos != first.pos")
         out = out.unionByName(again.select("rk", F.col("pos").alias("start"), (F.col("pos") + LENGTH).alias("end")))
@@ -346,13 +333,13 @@ def report(docs: DataFrame) -> DataFrame:
     """One row per document: its bytes, those removed, in how many runs, and a digest of the rest."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rk", F.xxhash64("doc_id", "text"))
     found = stored(marks(own).groupBy("rk").agg(F.collect_list(F.struct("start", "end")).alias("marks")))
-    some = _bitmap(found.select("rk"), "rk", DOC_BITS)
+    some = bitmap(found.select("rk"), "rk", DOC_BITS)
 
     def split(wanted: bool):
         def run(batches):
             words = some.value
             for b in batches:
-                yield b.filter(pa.array(_in(words, b.column("rk").to_numpy()) == wanted))
+                yield b.filter(pa.array(passes(words, b.column("rk").to_numpy()) == wanted))
 
         return own.mapInArrow(run, own.schema)
 
