@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import raster
+from . import channels, raster
 
-MODULES = (raster,)
+MODULES = (raster, channels)
 
 
 def queries() -> dict:
