@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import channels, raster
+from . import channels, documents, raster
 
-MODULES = (raster, channels)
+MODULES = (raster, channels, documents)
 
 
 def queries() -> dict:
