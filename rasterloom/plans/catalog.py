@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import channels, documents, raster
+from . import channels, documents, geometry, raster
 
-MODULES = (raster, channels, documents)
+MODULES = (raster, channels, documents, geometry)
 
 
 def queries() -> dict:
