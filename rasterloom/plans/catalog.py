@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import channels, documents, geometry, raster
+from . import channels, documents, exports, geometry, raster
 
-MODULES = (raster, channels, documents, geometry)
+MODULES = (raster, channels, documents, geometry, exports)
 
 
 def queries() -> dict:
