@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import channels, documents, exports, geometry, raster
+from . import channels, documents, editing, exports, geometry, raster
 
-MODULES = (raster, channels, documents, geometry, exports)
+MODULES = (raster, channels, documents, geometry, exports, editing)
 
 
 def queries() -> dict:
