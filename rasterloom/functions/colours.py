@@ -36,15 +36,16 @@ def unpacked_rgba(n: Column) -> Column:
 
 
 def parsed_colour(text: Column) -> Column:
-    """RGBA of a signed number, of rgb()/rgba(), of eight hex digits as AARRGGBB, or of six as RRGGBB; else null."""
+    """RGBA of a whole number (whatever its digits), of rgb()/rgba(), of eight hex digits as AARRGGBB, or of six as RRGGBB; else null."""
     hexed = F.regexp_extract(text, r"^#?([0-9A-Fa-f]{6}|[0-9A-Fa-f]{8})$", 1)
     wide = F.lpad(hexed, 8, "f")
     pair = lambda k: F.conv(F.substring(wide, k, 2), 16, 10).cast("int")
     call = r"^rgba?\(\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*(?:,\s*([\d.]+)\s*)?\)$"
     piece = lambda k: F.regexp_extract(text, call, k)
-    alpha = F.when(piece(4) == "", 255).otherwise(F.floor(F.expr("try_cast('1' as double)") * F.coalesce(piece(4).try_cast("double"), F.lit(1.0)) * 255 + 0.5).cast("int"))
+    share = piece(4).try_cast("double")
+    alpha = F.when(piece(4) == "", 255).otherwise(F.floor(F.when(share <= 1, share * 255).otherwise(share) + 0.5).cast("int"))
     return (
-        F.when(text.rlike(r"^-?\d{1,10}$") & ~text.rlike(r"^\d{6}$|^\d{8}$"), unpacked_rgba(text.try_cast("long")))
+        F.when(text.rlike(r"^-?\d{1,18}$"), unpacked_rgba(text.try_cast("long")))
         .when(text.rlike(call), F.array(piece(1).try_cast("int"), piece(2).try_cast("int"), piece(3).try_cast("int"), alpha))
         .when(hexed != "", F.array(pair(3), pair(5), pair(7), pair(1)))
     )

@@ -214,12 +214,12 @@ def f24_f25_f26_colours(spark, sf_dir):
 @query("""WITH n AS (SELECT p_partkey, CAST(p_partkey * 2654435 % 4294967296 - 2147483648 AS BIGINT) AS s, p_partkey * 7919 % 256 AS x FROM part)
   SELECT p_partkey, CASE p_partkey % 4
     WHEN 0 THEN [CAST((s + 4294967296) % 4294967296 // 16777216 AS INT), CAST((s + 4294967296) % 16777216 // 65536 AS INT), CAST((s + 4294967296) % 65536 // 256 AS INT), CAST((s + 4294967296) % 256 AS INT)]
-    WHEN 1 THEN [CAST(x AS INT), 2, 3, 255] WHEN 2 THEN [17, 34, CAST(x AS INT), 128] ELSE [CAST(x AS INT), 0, 255, 255] END AS rgba FROM n""")
+    WHEN 1 THEN [CAST(x AS INT), 2, 3, 255] WHEN 2 THEN [17, 34, CAST(x AS INT), 160] ELSE [CAST(x AS INT), 0, 255, 255] END AS rgba FROM n""")
 def f27_parse_colours(spark, sf_dir):
     x = F.col("p_partkey") * 7919 % 256
     h = F.lpad(F.lower(F.hex(x)), 2, "0")
     k = F.col("p_partkey") % 4
-    text = F.when(k == 0, ((F.col("p_partkey") * 2654435) % 4294967296 - 2147483648).cast("string")).when(k == 1, F.concat(F.lit("rgb("), x.cast("string"), F.lit(", 2, 3)"))).when(k == 2, F.concat(F.lit("801122"), h)).otherwise(F.concat(F.lit("#"), h, F.lit("00ff")))
+    text = F.when(k == 0, ((F.col("p_partkey") * 2654435) % 4294967296 - 2147483648).cast("string")).when(k == 1, F.concat(F.lit("rgb("), x.cast("string"), F.lit(", 2, 3)"))).when(k == 2, F.concat(F.lit("a01122"), h)).otherwise(F.concat(F.lit("#"), h, F.lit("00ff")))
     return table(spark, sf_dir, "part").select("p_partkey", C.parsed_colour(text).alias("rgba"))
 
 
