@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rasterloom.functions import geometry as G
+from rasterloom.operators import clipping as K
 from rasterloom.operators import polygons as O
 
 from .raster import MASKS, masks, table
@@ -198,3 +199,19 @@ def f59_convex_hulls(spark, sf_dir):
 def f60_f61_traced_masks(spark, sf_dir):
     m = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: (v > 0.1).cast("int")).alias("mask"))
     return O.traced(m, 8)
+
+
+@query()
+def t10_union_and_difference(spark, sf_dir):
+    """Overlapping hulls of neighbouring embeddings; tests/test_clipping.py checks areas."""
+    h = O.hulls(rings(spark, sf_dir)).select("id", "ring")
+    pairs = O.overlaps(h, 25.0).join(h.select(F.col("id").alias("a"), F.col("ring").alias("ring_a")), "a").join(h.select(F.col("id").alias("b"), F.col("ring").alias("ring_b")), "b")
+    union = K.combined(pairs, "ring_a", "ring_b", "union").select("a", "b", G.area(F.col("ring")).alias("union_area"))
+    minus = K.combined(pairs, "ring_a", "ring_b", "difference").select("a", "b", G.area(F.col("ring")).alias("difference_area"))
+    return union.join(minus, ["a", "b"])
+
+
+@query()
+def a22_united_strokes(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return K.united(e.select(F.col("user_id").alias("id"), F.col("event_id").alias("t"), (F.col("event_id") % 97 / 4).alias("x"), (F.col("user_id") % 7).cast("double").alias("y")), 5.0)
