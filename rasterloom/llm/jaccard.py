@@ -102,7 +102,9 @@ def _sketched(batches) -> Iterator[pa.RecordBatch]:
 
 
 def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid and shingles of the wanted (sid, rep); the texts are read again, and a bounded bit filter spares the others."""
+    """wanted (sid, rep, and more) with the shingles; the texts are read again, and a bounded bit filter spares the others.
+
+    One shuffle by sid serves the join, the removal of repeated rows and what the caller joins by sid."""
     key = F.xxhash64("sid", "rep").alias("key")
     shared = bitmap(wanted.select(key), "key", FILTER_BITS)
 
@@ -120,8 +122,8 @@ def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     all_rows = docs.mapInArrow(run, "rep long, sid long, shingles binary").withColumn("key", key)
     some = all_rows.mapInArrow(kept, all_rows.schema).drop("key")
-    same = (F.col("a.sid") == F.col("b.sid")) & F.col("a.rep").eqNullSafe(F.col("b.rep"))
-    return some.alias("a").join(wanted.alias("b"), same, "left_semi").groupBy("sid").agg(F.first("shingles").alias("shingles"))
+    joined = some.withColumnRenamed("rep", "doc").join(wanted, "sid").where(F.col("doc").eqNullSafe(F.col("rep")))
+    return joined.dropDuplicates(["sid"]).drop("doc", "rep")
 
 
 def _leaves(sets: DataFrame) -> DataFrame:
@@ -275,7 +277,7 @@ def links(docs: DataFrame) -> DataFrame:
     sets = stored(sketches.where("size > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("mins").alias("mins")))
     leaves = stored(_leaves(sets))
     wanted = stored(leaves.groupBy("sid").agg(F.sort_array(F.collect_list("node")).alias("leaves")).join(sets.select("sid", "rep", "copies"), "sid"))
-    members = stored(wanted.drop("rep").join(_members(own, wanted.select("sid", "rep")), "sid"))
+    members = _members(own, wanted)
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SETS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
     rows = leaves.select("node", "sid", blocks.alias("g")).withColumn("block", F.pmod(F.xxhash64("sid"), "g"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("other")
