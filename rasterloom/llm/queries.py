@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("longest", "longest_item")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +71,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_license_scan": licenses_sql(), "op7_chat_format": CHAT_SQL}
-
+    return {"op1_decontaminate": LEAKS_SQL, "op6_license_scan": licenses_sql(), "op7_chat_format": CHAT_SQL}
+
+
+LEAKS_SQL = r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(list_slice(ws, k, k + n - 1), ' ') AS w
+  FROM (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(generate_series(1, greatest(1, len(ws) - 9))) AS k FROM iw WHERE len(ws) > 0)
+), lengths AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT r, n, k, array_to_string(list_slice(ws, k, k + n - 1), ' ') AS w
+  FROM (SELECT r, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS k FROM dw, lengths WHERE len(ws) >= n)
+), found AS (SELECT p.r, p.k, p.n, i.item_id FROM places p JOIN windows i ON p.n = i.n AND p.w = i.w),
+words AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(generate_series(k, k + n - 1)) AS k FROM found) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words USING (r) LEFT JOIN items USING (r)
+"""
 
 CHAT_SQL = r"""
 WITH rows AS (

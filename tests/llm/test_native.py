@@ -12,7 +12,7 @@ from .oracle import same
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["op6_license_scan", "op7_chat_format"])
+@pytest.mark.parametrize("name", ["op1_decontaminate", "op6_license_scan", "op7_chat_format"])
 def test_sql(spark, name):
     same(queries.queries()[name](spark, SF), queries.oracle_sql()[name], SF)
 
