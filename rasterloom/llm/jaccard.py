@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,23 +106,18 @@ def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (sid, rep, and more) with the shingles; the texts are read again, and a bounded bit filter spares the others.
 
     One shuffle by sid serves the join, the removal of repeated rows and what the caller joins by sid."""
-    key = F.xxhash64("sid", "rep").alias("key")
+    key = F.col("sid").bitwiseXOR(F.coalesce("rep", F.lit(0).cast("long"))).alias("key")
     shared = bitmap(wanted.select(key), "key", FILTER_BITS)
 
     def run(batches):
         for b in T.slices(batches):
             values, first = shingles(b.column("text"))
-            raw = values.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(_set_ids(values, first), pa.int64()), pa.array([raw[8 * x : 8 * y] for x, y in zip(first.tolist(), first[1:].tolist())], pa.binary())], ["rep", "sid", "shingles"]
-            )
+            sid, rep = _set_ids(values, first), b.column("doc_id")
+            some = np.flatnonzero(passes(shared.value, sid ^ pc.fill_null(rep, 0).to_numpy()))
+            raw = [values[x:y].tobytes() for x, y in zip(first[some].tolist(), first[some + 1].tolist())]
+            yield pa.RecordBatch.from_arrays([rep.take(pa.array(some)), pa.array(sid[some]), pa.array(raw, pa.binary())], ["rep", "sid", "shingles"])
 
-    def kept(batches):
-        for b in batches:
-            yield b.filter(pa.array(passes(shared.value, b.column("key").to_numpy())))
-
-    all_rows = docs.mapInArrow(run, "rep long, sid long, shingles binary").withColumn("key", key)
-    some = all_rows.mapInArrow(kept, all_rows.schema).drop("key")
+    some = docs.mapInArrow(run, "rep long, sid long, shingles binary")
     joined = some.withColumnRenamed("rep", "doc").join(wanted, "sid").where(F.col("doc").eqNullSafe(F.col("rep")))
     return joined.dropDuplicates(["sid"]).drop("doc", "rep")
 
