@@ -6,6 +6,7 @@ window ever crosses from one text into the next.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 
 #: Bytes of text that are worked on at once; a longer text is worked on alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -68,6 +69,15 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = SL
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), b.num_rows]):
             if hi > lo:
                 yield b.slice(lo, hi - lo)
+    _give_back()
+
+
+def _give_back() -> None:
+    """Returns what a task has freed to the system: workers live on, and the next stage's workers need the memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def buffer(col) -> tuple[np.ndarray, np.ndarray]:
