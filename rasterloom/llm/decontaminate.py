@@ -6,6 +6,8 @@ all places where a whole window occurs. A text never leaves its slice, so nothin
 
 Edge cases: null and empty texts have no words, so no match; items without words are ignored; an item of
 fewer words than a window is one window by itself; repeated items and repeated rows are each reported;
+items with a null item_id are searched like others: their hits have a null item_id, and in the report all of
+them are one more item in n_items, and none in the digest, which lists item_ids;
 an empty table gives no rows; other columns are not read.
 """
 
@@ -35,8 +37,8 @@ SHARD_BYTES = 8 << 20
 class Probes:
     """The suffixes of a block of benchmark items."""
 
-    def __init__(self, item_ids: list[int], hashes: list[np.ndarray], window: int):
-        self.ids = np.array(item_ids, np.int64)
+    def __init__(self, item_ids: list[int | None], hashes: list[np.ndarray], window: int):
+        self.ids = item_ids
         n = np.array([len(h) for h in hashes], np.int64)
         self.words = np.concatenate([*hashes, np.zeros(1, T.U64)])
         lo = np.cumsum(n) - n
@@ -147,7 +149,7 @@ def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Pro
             for i, item in enumerate(ids):
                 for lo in range(0, max(1, int(n[i]) - window + 1), block_words):
                     w = h[first[i] + lo : first[i] + min(int(n[i]), lo + block_words + window - 1)]
-                    if len(w) and item is not None:
+                    if len(w):
                         parts.append(item)
                         data.append(w.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(data, pa.binary())], ["item_id", "words"])
@@ -203,7 +205,7 @@ def _matched(batches, q: Probes, kept: list[str]) -> Iterator[pa.RecordBatch]:
             for k in np.flatnonzero(length):
                 d = int(owner[place[k]])
                 if length[k] > longest[d]:
-                    longest[d], best[d] = length[k], int(q.ids[q.item[k]])
+                    longest[d], best[d] = length[k], q.ids[q.item[k]]
             slot, probe = T.ranges(lo, hi)
             pos = sa[slot]
             o = np.lexsort((pos, q.item[probe], owner[pos]))
@@ -215,7 +217,7 @@ def _matched(batches, q: Probes, kept: list[str]) -> Iterator[pa.RecordBatch]:
                 run_end = np.maximum.reduceat(end, s)
                 for x, e in zip(s.tolist(), run_end.tolist()):
                     d = int(doc[x])
-                    hits[d].append({"item_id": int(q.ids[item[x]]), "start": int(pos[x] - first[d]), "length": int(e - pos[x])})
+                    hits[d].append({"item_id": q.ids[item[x]], "start": int(pos[x] - first[d]), "length": int(e - pos[x])})
         cols = [b.column(c) for c in kept]
         cols += [pa.array(n, pa.int64()), pa.array(hits, b.schema.field("hits").type), pa.array(longest, pa.int64()), pa.array(best, pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, schema=b.schema)
@@ -239,9 +241,10 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
                 for x in sorted((x["start"], x["start"] + x["length"]) for x in hits):
                     covered += max(0, x[1] - max(x[0], end))
                     end = max(end, x[1])
-                ids = sorted({str(x["item_id"]) for x in hits})
+                found = {x["item_id"] for x in hits}
+                ids = sorted(str(x) for x in found if x is not None)
                 rows["n_hit"].append(covered)
-                rows["n_items"].append(len(ids))
+                rows["n_items"].append(len(found))
                 rows["items_sha256"].append(hashlib.sha256(",".join(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("n_words"), pa.array(rows["n_hit"], pa.int64()), pa.array(rows["n_items"], pa.int64()), pa.array(rows["items_sha256"], pa.string()), b.column("longest"), b.column("longest_item")],

@@ -1,9 +1,11 @@
 import hashlib
 import re
 
+import duckdb
 import pytest
 
 from rasterloom.llm import decontaminate as D
+from rasterloom.llm import queries
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -67,3 +69,23 @@ def test_whole_table(spark):
     want = brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
     assert got(D.report(docs, items)) == want
     assert any(x[-1] for x in want)
+
+
+def test_items_without_id(spark):
+    a, b = ([f"{x}{k}" for k in range(14)] for x in "ab")
+    docs = [(1, " ".join(["x", *a, "y"])), (2, " ".join(b)), (3, " ".join([*a, *b])), (4, "clean")]
+    items = [(None, " ".join(a)), (None, " ".join(a[2:])), (8, " ".join(b)), (None, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    i = spark.createDataFrame(items, "item_id long, text string")
+    rows = {r.doc_id: r for r in D.report(d, i).collect()}
+    eight = hashlib.sha256(b"8").hexdigest()
+    assert [(rows[k].n_hit, rows[k].n_items, rows[k].contaminated) for k in (1, 2, 3, 4)] == [(14, 1, True), (14, 1, True), (28, 2, True), (0, 0, False)]
+    assert rows[1].items_sha256 == hashlib.sha256(b"").hexdigest() and rows[2].items_sha256 == rows[3].items_sha256 == eight
+    assert (rows[1].longest, rows[1].longest_item) == (14, None)
+    assert [r.doc_id for r in D.decontaminated(d, i).collect()] == [4]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.execute("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
+    assert got(D.report(d, i)) == sorted(con.execute(queries.LEAKS_SQL).fetchall(), key=repr)
