@@ -99,7 +99,7 @@ def _sketched(batches) -> Iterator[pa.RecordBatch]:
                 mins[full, k] = np.minimum.reduceat(values * m, first[full])
         flat = pa.array(mins.view(np.int64).ravel(), pa.int64())
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * (RUNS + POOL), pa.int32()), flat)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_set_ids(values, first), pa.int64()), pa.array(size, pa.int64()), lists], ["doc_id", "sid", "size", "mins"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(_set_ids(values, first), pa.int64()), pa.array(size, pa.int64()), lists], ["doc_id", "row", "sid", "size", "mins"])
 
 
 def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -265,12 +265,13 @@ def _components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """One row per document: class_id, the smallest doc_id of its class; n_links, documents with a Jaccard similarity of
-    THRESHOLD or more; n_linked_texts, different sets among them; n_class, documents of the class."""
+def _linked(docs: DataFrame) -> DataFrame:
+    """What links() gives, with row, the hash of the text, and head, the (none, doc_id, row) of the first row of its class:
+    that of the smallest doc_id, nulls last, then of the smallest hash. A row without words has no head."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = stored(own.mapInArrow(_sketched, "doc_id long, sid long, size long, mins array<long>"))
-    sets = stored(sketches.where("size > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("mins").alias("mins")))
+    sketches = stored(own.withColumn("row", F.xxhash64("text")).mapInArrow(_sketched, "doc_id long, row long, sid long, size long, mins array<long>"))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head")
+    sets = stored(sketches.where("size > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), head, F.count("*").alias("copies"), F.first("size").alias("size"), F.first("mins").alias("mins")))
     leaves = stored(_leaves(sets))
     wanted = stored(leaves.groupBy("sid").agg(F.sort_array(F.collect_list("node")).alias("leaves")).join(sets.select("sid", "rep", "copies"), "sid"))
     members = _members(own, wanted)
@@ -282,10 +283,10 @@ def links(docs: DataFrame) -> DataFrame:
     found = stored(units.mapInArrow(_compared, UNIT))
     counts = found.groupBy("sid").agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))
     parts = _components(found.select("sid", "root"))
-    classed = sets.select("sid", "rep", "copies").join(parts, "sid", "left").withColumn("root", F.coalesce("root", "sid")).join(counts, "sid", "left")
-    heads = classed.groupBy("root").agg(F.min("rep").alias("class_id"), F.sum("copies").alias("n_class"))
-    table = classed.join(heads, "root").select("sid", "class_id", "n_class", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"))
-    out = sketches.select("doc_id", F.when(F.col("size") > 0, F.col("sid")).alias("sid")).join(table, "sid", "left")
+    classed = sets.select("sid", "rep", F.col("head").alias("first"), "copies").join(parts, "sid", "left").withColumn("root", F.coalesce("root", "sid")).join(counts, "sid", "left")
+    heads = classed.groupBy("root").agg(F.min("rep").alias("class_id"), F.min("first").alias("head"), F.sum("copies").alias("n_class"))
+    table = classed.join(heads, "root").select("sid", "class_id", "head", "n_class", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("texts", F.lit(0)).alias("texts"))
+    out = sketches.select("doc_id", "row", F.when(F.col("size") > 0, F.col("sid")).alias("sid")).join(table, "sid", "left")
     alone = F.col("class_id").isNull() & F.col("copies").isNull()
     return out.select(
         "doc_id",
@@ -293,11 +294,23 @@ def links(docs: DataFrame) -> DataFrame:
         F.when(alone, 0).otherwise(F.col("links") + F.col("copies") - 1).cast("long").alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_linked_texts"),
         F.coalesce("n_class", F.lit(1)).cast("long").alias("n_class"),
+        "row",
+        "head",
     )
 
 
+def links(docs: DataFrame) -> DataFrame:
+    """One row per document: class_id, the smallest doc_id of its class; n_links, documents with a Jaccard similarity of
+    THRESHOLD or more; n_linked_texts, different sets among them; n_class, documents of the class."""
+    return _linked(docs).drop("row", "head")
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """One row of docs for each class: that of its smallest doc_id; all columns stay. Rows with that doc_id and other texts stay too."""
-    gone = stored(links(docs).where("class_id is not null and doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct())
-    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    return out.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    """One row of docs for each class: that of its smallest doc_id, or of its smallest hash of a text where all are null; all
+    columns stay. Rows are told apart by doc_id and text, so other texts of a doc_id are kept or go with their own classes;
+    rows without words stay, repeated ones once."""
+    keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("__doc"), F.col("doc_id").cast("long").isNull().alias("__none")]
+    first = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("row") == F.col("head.row"))
+    gone = stored(_linked(docs).where(F.col("head").isNotNull() & ~first).select(*keys, F.col("row").alias("__row")).distinct())
+    out = docs.select("*", *keys, F.xxhash64("text").alias("__row")).join(gone, ["__doc", "__none", "__row"], "left_anti")
+    return out.dropDuplicates(["__doc", "__none", "__row"]).select(docs.columns)

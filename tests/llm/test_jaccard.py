@@ -89,3 +89,15 @@ def test_planted(spark, leaf, monkeypatch):
 def test_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert got(df) == brute([(r.doc_id, r.text) for r in df.collect()])
+
+
+def test_rows_of_one_id_and_of_none(spark):
+    """A copy leaves only itself, not other texts of its doc_id; copies without ids leave too."""
+    a, b, c, e = (" ".join(f"{x}{k}" for k in range(60)) for x in "abce")
+    docs = [(1, a), (5, a), (5, b), (5, b), (None, a), (None, c), (None, c), (None, c + " more"), (7, e), (7, e.upper()), (None, e), (None, None), (8, ""), (9, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert got(df) == brute(docs)
+    kept = [tuple(r) for r in J.deduplicated(df).collect()]
+    assert len(kept) == 7 and {(1, a), (5, b), (None, None), (8, ""), (9, "")} < set(kept)
+    assert sum(d is None and t in (c, c + " more") for d, t in kept) == 1
+    assert sum(d == 7 and t in (e, e.upper()) for d, t in kept) == 1
