@@ -12,7 +12,7 @@ kept between jobs but a few numbers a domain. The rates decide how often a docum
 part, and once more if a hash of doc_id falls below the rest.
 
 Edge cases: null and empty texts have no tokens, the prior as posterior and rate 1; null or repeated labels: rows
-without a label are ignored, a document with several counts in each; domains without a target keep
+without a label are ignored, a document with several counts in each, equal rows of a doc_id teach once; domains without a target keep
 the weight that they have; without labelled rows all documents are of one domain; a null doc_id hashes to 42;
 an empty table gives no rows; columns that clash with the results are only in the way of report().
 """
@@ -25,9 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .samples import texts_of
 from .session import stored
 
-#: Labelled rows that the classifier is learned from: those with the lowest hash of doc_id.
+#: Labelled rows that the classifier is learned from: those with the lowest hash of doc_id; equal rows are one.
 SAMPLE_ROWS = 4_000
 
 BITS, EPOCHS, RATE = 14, 8, 0.5
@@ -52,7 +53,7 @@ def _bags(batches):
         f = (key & T.U64(0xFFFFFFFF)).astype(np.uint32)
         c = count.astype(np.float32)
         parts = list(zip(cut.tolist(), cut[1:].tolist()))
-        yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([f[x:y].tobytes() for x, y in parts], pa.binary()), pa.array([c[x:y].tobytes() for x, y in parts], pa.binary())], ["label", "features", "counts"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), b.column("label"), pa.array([f[x:y].tobytes() for x, y in parts], pa.binary()), pa.array([c[x:y].tobytes() for x, y in parts], pa.binary())], ["doc_id", "row", "label", "features", "counts"])
 
 
 def classifier(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
@@ -60,9 +61,9 @@ def classifier(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_R
 
     labelled: doc_id and label."""
     marked = labelled.where("label is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("string").alias("label"))
-    marked = marked.orderBy(F.xxhash64("doc_id", "label"), "doc_id", "label").limit(sample_rows)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marked), "doc_id")
-    sample = stored(own.mapInArrow(_bags, "label string, features binary, counts binary").repartition(8))
+    marked = marked.distinct().orderBy(F.xxhash64("doc_id", "label"), "doc_id", "label").limit(sample_rows)
+    bags = texts_of(docs, marked, "label", sample_rows).mapInArrow(_bags, "doc_id long, row long, label string, features binary, counts binary")
+    sample = stored(bags.groupBy("doc_id", "row", "label").agg(F.first("features").alias("features"), F.first("counts").alias("counts")).repartition(8))
     domains = sorted(r["label"] for r in sample.select("label").distinct().collect())
     if not domains:
         return [""], np.zeros((1, _SIZE + 1))

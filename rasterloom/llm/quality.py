@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .samples import texts_of
 
 #: Labelled rows that the list is learned from: those with the lowest hash of doc_id.
 SAMPLE_ROWS = 20_000
@@ -194,7 +195,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
 
 def rules_of(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The decision list learned from at most sample_rows labelled documents."""
+    """The decision list learned from at most sample_rows labelled documents, and twice as many different texts of them."""
     marked = (
         labels.where("quality is not null and doc_id is not null")
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
@@ -202,9 +203,9 @@ def rules_of(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_rows)
     )
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marked), "doc_id")
-    rows = counted(own.repartition(own.sparkSession.sparkContext.defaultParallelism)).select("doc_id", "quality", "__counts.*").limit(2 * sample_rows).toPandas()
-    rows = rows[rows.n_words > 0].sort_values(["doc_id"], kind="stable")
+    own = texts_of(docs, marked, "quality", 2 * sample_rows)
+    rows = counted(own).select("doc_id", "row", "quality", "__counts.*").dropDuplicates(["doc_id", "row"]).toPandas()
+    rows = rows[rows.n_words > 0].sort_values(["doc_id", "row"], kind="stable")
     if rows.empty:
         return []
     get = lambda k: rows[k].to_numpy(float)

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .samples import texts_of
 from .session import stored
 
 #: Labelled rows that are learned from at most: those with the lowest hash of doc_id.
@@ -72,7 +73,7 @@ def _packed(batches: Iterable[pa.RecordBatch]):
         key = np.sort(_counted(f, of))
         cut = np.searchsorted(key >> T.U64(32), np.arange(n + 1).astype(T.U64))
         f = (key & T.U64(0xFFFFFFFF)).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([f[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], ["doc_id", "toxic", "features"])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), b.column("toxic"), pa.array([f[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], ["doc_id", "row", "toxic", "features"])
 
 
 def learn(rows: Iterable[tuple[int, np.ndarray]], state: dict | None = None) -> dict:
@@ -104,9 +105,9 @@ def model(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample_rows)
     )
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(marked), "doc_id")
-    packed = own.mapInArrow(_packed, "doc_id long, toxic int, features binary")
-    sample = stored(packed.repartition(8, F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "toxic"))
+    packed = texts_of(docs, marked, "toxic", sample_rows).mapInArrow(_packed, "doc_id long, row long, toxic int, features binary")
+    once = packed.groupBy("doc_id", "row", "toxic").agg(F.first("features").alias("features"))
+    sample = stored(once.repartition(8, F.xxhash64("doc_id")).sortWithinPartitions("doc_id", "toxic", "row"))
     state = None
     for _ in range(EPOCHS):
         state = learn(((r["toxic"], np.frombuffer(bytes(r["features"]), np.uint32).astype(np.int64)) for r in sample.toLocalIterator()), state)

@@ -2,6 +2,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rasterloom.llm import mixing as M
+from rasterloom.llm import quality, toxicity
+from rasterloom.llm.samples import texts_of
 
 TARGETS = {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}
 
@@ -42,3 +44,27 @@ def test_edges(spark):
     assert M.taken(docs, labelled, {"A": 1.0}).columns == docs.columns
     assert {r.copies for r in M.report(docs, labelled.limit(0), {}).collect()} == {1}
     assert M.report(docs.limit(0), labelled, {"A": 1.0}).count() == 0
+
+
+def test_repeated_rows_teach_once(spark):
+    """A repeated labelled row changes neither the sample nor the fit, and keeps no other domain out of it."""
+    docs = spark.createDataFrame([(1, "a b c " * 9), (2, "d e f " * 9), (3, "g h i " * 9)], "doc_id long, text string")
+    labelled = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "doc_id long, label string")
+    names, w = M.classifier(docs, labelled, 4)
+    many = docs.unionByName(docs.where("doc_id = 1").crossJoin(spark.range(50)).drop("id")).repartition(3)
+    again, v = M.classifier(many, many.select("doc_id").join(labelled, "doc_id"), 4)
+    assert names == again == ["A", "B", "C"] and np.array_equal(w, v)
+    # different texts of a doc_id come after the first texts of the others
+    texts = spark.range(50).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("a b c "), F.col("id").cast("string")).alias("text"))
+    picked = [r.doc_id for r in texts_of(docs.unionByName(texts), labelled, "label", 4).collect()]
+    assert sorted(picked) == [1, 1, 2, 3]
+
+
+def test_repeated_rows_in_other_fits(spark):
+    good, bad = "some plain words of prose here " * 3, "## $$ %% && ** bad || "
+    docs = spark.createDataFrame([(k, f"{bad if k % 2 else good}{k} {k * 7}") for k in range(80)], "doc_id long, text string")
+    labels = docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("quality"), (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    many = docs.unionByName(docs.where("doc_id = 4").crossJoin(spark.range(500)).drop("id")).repartition(3)
+    assert quality.rules_of(docs, labels, 100) == quality.rules_of(many, labels, 100) != []
+    for x, y in zip(toxicity.model(docs, labels, 100), toxicity.model(many, labels, 100)):
+        assert np.array_equal(x, y)
