@@ -42,6 +42,13 @@ def s13_full_frames(spark, sf_dir):
     return S.full_frames(i)
 
 
+@query(f"""WITH i AS (SELECT *, CAST(ceil(width / 256.0) AS BIGINT) AS nc, CAST(ceil(height / 200.0) AS BIGINT) AS nr FROM ({_INSTANCES})),
+  k AS (SELECT i.*, c, chr(CAST(97 + c AS INT)) AS channel FROM i CROSS JOIN range(2) t(c))
+  SELECT instance, (r + 1) || '-' || (q + 1) || '-' || channel AS key, CAST(((c * 2 + 1) * nr + r) * nc + q + 1 AS BIGINT) AS frame FROM k, range(8) a(r), range(14) b(q) WHERE r < nr AND q < nc""")
+def s13_all_full_frames(spark, sf_dir):
+    return S.full_frames(instances(spark, sf_dir).withColumn("planes", F.lit(2)).withColumn("channels", F.array(F.lit("a"), F.lit("b"))))
+
+
 @query("SELECT l_orderkey AS instance, CAST(ceil(l_partkey / 16.0) AS BIGINT) || '-' || CAST(ceil(l_quantity / 8.0) AS BIGINT) || '-' || l_returnflag AS key, max(l_linenumber) AS frame FROM lineitem GROUP BY 1, 2")
 def s13_sparse_frames(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
@@ -123,6 +130,14 @@ def j19_complete_folder_maps(spark, sf_dir):
     return X.complete_folder_map(r, r.where("folder % 11 <> 3"), "MACHINERY")
 
 
+@query("""WITH r AS (SELECT c_nationkey % 5 AS image, c_mktsegment AS g, c_custkey % 11 = 3 AND (c_nationkey % 5 + length(c_mktsegment)) % 3 = 0 AS missing FROM customer), o AS (SELECT image, g FROM r GROUP BY ALL HAVING NOT bool_or(missing))
+  SELECT image, coalesce(max(g) FILTER (g = 'MACHINERY'), min(g)) AS "group" FROM o GROUP BY image""")
+def j19_all_complete_folder_maps(spark, sf_dir):
+    image = F.col("c_nationkey") % 5
+    r = table(spark, sf_dir, "customer").select(image.alias("image"), F.col("c_mktsegment").alias("group"), F.col("c_custkey").alias("folder"))
+    return X.complete_folder_map(r, r.where(~((F.col("folder") % 11 == 3) & ((F.col("image") + F.length("group")) % 3 == 0))), "MACHINERY")
+
+
 @query("SELECT n_regionkey AS image, n_nationkey AS id, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY -n_nationkey) - 1 AS INT) AS index FROM nation WHERE n_nationkey % 4 <> 1")
 def k06_remapped(spark, sf_dir):
     n = table(spark, sf_dir, "nation").where("n_nationkey % 4 <> 1").select(F.col("n_regionkey").alias("image"), F.col("n_nationkey").alias("id"), (-F.col("n_nationkey")).alias("index"))
