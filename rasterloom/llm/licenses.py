@@ -3,7 +3,9 @@
 Every line of every whole text, and the whole text of a licence file, is compared with license templates by
 the cosine of TF-IDF vectors over the words of the templates; document frequencies are counted over all
 documents. Only lines with one of the weighty words of a template are compared: the other words of a
-template together stay below the threshold, so no match is lost. Files without a license of their own get
+template together stay below the threshold, so no match is lost. A text in which no line is found is read again
+as one run of words, whatever its line breaks: every window of as many words as a template has is compared with
+that template, where the text has words enough of it. Files without a license of their own get
 that of the nearest directory above them that holds a licence file, by joins of distinct directories.
 
 Edge cases: null and empty texts and null paths have no license; words are ASCII letters and digits in
@@ -95,23 +97,44 @@ def matched(files: DataFrame, weight: dict[str, float]) -> DataFrame:
     def best(unit: Column) -> Column:
         every = words(unit)
 
-        def scored(own: Column, n: Column) -> Column:
+        return F.element_at(F.transform(F.array(every), lambda e: scored(e, TEMPLATES)), 1)
+
+    def scored(e: Column, templates) -> Column:
+        def of(own: Column) -> Column:
             norm = F.sqrt(F.aggregate(F.array_distinct(own), F.lit(0.0), lambda a, t: a + F.pow(F.size(F.filter(own, lambda y: y == t)) * F.element_at(known, t), F.lit(2.0))))
             cosines = []
-            for name, t in TEMPLATES:
-                v = {w: k * weight[w] for w, k in Counter(words_of(t)).items()}
-                length = math.sqrt(sum(x * x for x in v.values()))
+            for name, t in templates:
+                v, length = vector(t)
                 dot = _sum_of(own, _lookup({w: x * weight[w] / length for w, x in v.items()}))
                 cosines.append(F.struct(F.round(dot / norm, 6).alias("cosine"), F.lit(name).alias("license")))
             top = F.array_max(F.array(*cosines))
-            return F.when((F.size(own) > 0) & (F.size(own) >= SHARE * n), top)
+            return F.when((F.size(own) > 0) & (F.size(own) >= SHARE * F.size(e)), top)
+
+        return F.element_at(F.transform(F.array(F.filter(e, lambda x: F.array_contains(vocabulary, x))), of), 1)
 
-        vocabulary = F.array(*map(F.lit, VOCABULARY))
-        return F.element_at(F.transform(F.array(every), lambda e: scored(F.filter(e, lambda x: F.array_contains(vocabulary, x)), F.size(e))), 1)
+    def vector(t: str) -> tuple[dict[str, float], float]:
+        v = {w: k * weight[w] for w, k in Counter(words_of(t)).items()}
+        return v, math.sqrt(sum(x * x for x in v.values()))
+
+    def windows(e: Column, present: Column) -> Column:
+        tops = []
+        for name, t in TEMPLATES:
+            v, length = vector(t)
+            size = len(words_of(t))
+            # without these words no window can reach the threshold
+            enough = _sum_of(present, _lookup({w: x * x for w, x in v.items()})) >= (COSINE - 1e-6) ** 2 * length**2
+            starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(e) - (size - 1)))
+            each = F.transform(starts, lambda i: F.element_at(F.transform(F.array(F.slice(e, i, size)), lambda u: scored(u, [(name, t)])), 1))  # noqa: B023
+            tops.append(F.when(enough, F.array_max(F.filter(each, lambda x: x["cosine"] >= COSINE))))
+        return F.array_max(F.array(*tops))
+
+    vocabulary = F.array(*map(F.lit, VOCABULARY))
 
     lines = F.filter(F.coalesce(units, F.expr("cast(array() as array<string>)")), lambda u: u.rlike(pattern))
     found = F.array_max(F.filter(F.transform(lines, best), lambda x: x["cosine"] >= COSINE))
     out = files.withColumn("__found", F.when(F.col("text").rlike(pattern), found))
+    run = F.element_at(F.transform(F.array(words(F.col("text"))), lambda e: F.element_at(F.transform(F.array(F.array_intersect(e, vocabulary)), lambda p: windows(e, p)), 1)), 1)
+    out = out.withColumn("__found", F.coalesce("__found", F.when(F.col("text").rlike(pattern), run)))
     return out.withColumn("own_license", F.col("__found.license")).withColumn("cosine", F.col("__found.cosine")).drop("__found", "text")
 
 
