@@ -184,13 +184,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_w
         F.lit(None).cast("long").alias("longest_item"),
     )
     schema = out.schema
-    blocks = list(_blocks(benchmark, window, block_words)) or [Probes([], [], window)]
-    for i, probes in enumerate(blocks):
+    blocks = _blocks(benchmark, window, block_words)  # the driver holds one block, and the next while it looks whether there is one
+    probes = next(blocks, None) or Probes([], [], window)
+    while True:
         shared = spark.sparkContext.broadcast(probes)
         out = out.mapInArrow(lambda batches, s=shared: _matched(batches, s.value, kept), schema)
-        if i + 1 < len(blocks):
-            out = stored(out)
-    return out
+        probes = next(blocks, None)
+        if probes is None:
+            return out
+        out = stored(out)
 
 
 def _matched(batches, q: Probes, kept: list[str]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,10 @@ def history(states: DataFrame, most: int = 100) -> DataFrame:
 
 
 def run_to_table(edits: DataFrame, name: str, checkpoint: str, gap: str = "2 seconds") -> DataFrame:
-    """Runs settled() over what the stream holds now and gives the finished bursts."""
-    q = settled(edits, gap).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Runs settled() over what the stream holds now and gives the finished bursts, as Parquet in a folder beside the
+    checkpoint and as a view of that name."""
+    out, path = settled(edits, gap), f"{checkpoint.rstrip('/')}-{name}"
+    q = out.writeStream.outputMode("append").format("parquet").queryName(name).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+    edits.sparkSession.read.schema(out.schema).parquet(path).createOrReplaceTempView(name)
     return edits.sparkSession.table(name)

@@ -89,3 +89,14 @@ def test_items_without_id(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?)", docs)
     con.executemany("INSERT INTO benchmark VALUES (?, ?)", items)
     assert got(D.report(d, i)) == sorted(con.execute(queries.LEAKS_SQL).fetchall(), key=repr)
+
+
+def test_blocks_come_one_by_one(spark, monkeypatch):
+    made, seen, make, keep = [], [], D.Probes.__init__, D.stored
+    monkeypatch.setattr(D.Probes, "__init__", lambda *a: made.append(1) or make(*a))
+    monkeypatch.setattr(D, "stored", lambda df: seen.append(len(made)) or keep(df))
+    docs = [(k, " ".join(f"w{k}x{j}" for j in range(12))) for k in range(5)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(1)
+    i = d.withColumnRenamed("doc_id", "item_id")
+    assert {r.doc_id: (len(r.hits), r.hits[0].item_id) for r in D.matches(d, i, block_words=12).collect()} == {k: (1, k) for k in range(5)}
+    assert seen == [2, 3, 4, 5]
