@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 
@@ -29,14 +30,16 @@ ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = ALNUM[128:] = True
 SPACED = np.ones(256, bool)
 SPACED[[32, 9, 10, 11, 12, 13]] = False
 
-_RNG = np.random.default_rng(20240917)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-_BYTE_FOLDED = _BYTE[_FOLD]
 _MUL = U64(0x9E3779B97F4A7C15)
-_POWERS = np.multiply.accumulate(np.concatenate([np.ones(1, U64), np.full((1 << 16) - 1, _MUL, U64)]))
 
-#: Bytes that are hashed at once, so that the intermediate arrays stay in the processor's cache.
-_CHUNK = 1 << 17
+#: Multipliers of the two independent families of hashes.
+_LANE = [(U64(0xFF51AFD7ED558CCD), U64(0x2545F4914F6CDD1D)), (U64(0xC4CEB9FE1A85EC53), U64(0x9FB21C651E98DF25))]
+
+#: Masks that leave the first k bytes of eight.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=U64)
+
+#: Eight-byte lanes of a part that are hashed side by side; the rest of longer parts is hashed one by one.
+_LANES = 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -98,27 +101,42 @@ def words(buf: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends if len(ends) == len(starts) else np.append(ends, len(buf))
 
 
-def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
-    """64-bit hashes, never 0, of the parts [start, end): equal bytes have equal hashes. fold lower-cases A-Z."""
-    value = _BYTE_FOLDED if fold else _BYTE
-    n = ends - starts
-    out = np.zeros(len(n), U64)
-    total = np.cumsum(n)
-    cuts = np.flatnonzero(np.diff(total // _CHUNK)) + 1
-    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(n)]):
-        m = n[lo:hi]
-        full = np.flatnonzero(m)
-        if not len(full):
-            continue
-        m = m[full]
-        first = np.cumsum(m) - m
-        at = np.arange(first[-1] + m[-1]) - np.repeat(first, m)
-        v = value[buf[at + np.repeat(starts[lo:hi][full], m)]]
-        if int(m.max()) > len(_POWERS):
-            v *= mix((at >> 16).astype(U64)) | U64(1)
-            at &= len(_POWERS) - 1
-        v *= _POWERS[at]
-        out[lo + full] = np.add.reduceat(v, first)
+def lanes(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position, zeros after the end, as one number."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray(len(buf) + 1, "<u8", padded, 0, (1,))
+
+
+def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool, family: int = 0) -> np.ndarray:
+    """64-bit hashes, never 0, of the parts [start, end): equal bytes have equal hashes. fold lower-cases A-Z.
+
+    Parts of one length of up to eight bytes never share a hash: every step is a bijection of the lane. The families
+    are independent; two of them together make 128 bits."""
+    if fold:
+        buf = _FOLD[buf]
+    lane = lanes(buf)
+    a, b = _LANE[family]
+    left = ends - starts
+    out = left.astype(U64) * b
+    live, at, h = np.arange(len(left)), starts, out
+    for k in range(_LANES):
+        if k:
+            more = np.flatnonzero(left > 8)
+            if len(more) < len(left):
+                out[live] = h
+                live, at, left, h = live[more], at[more], left[more], h[more]
+            at, left = at + 8, left - 8
+        if not len(live):
+            break
+        v = lane[at] & _FIRST[np.minimum(left, 8)]
+        v *= a
+        v ^= v >> U64(32)
+        h = (h ^ v) * b
+        h ^= h >> U64(29)
+    out[live] = h
+    for i in np.flatnonzero(left > 8).tolist() if len(live) else ():
+        x = int(at[i]) + 8
+        out[live[i]] ^= U64(xxhash.xxh3_64_intdigest(buf[x : x + int(left[i]) - 8], seed=family + 1))
     out = mix(out)
     out[out == 0] = 1
     return out

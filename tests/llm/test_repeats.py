@@ -30,9 +30,12 @@ def got(df):
     return sorted(map(tuple, R.report(df).collect()), key=repr)
 
 
-@pytest.mark.parametrize("most", [2, 4096])
-def test_small(spark, most, monkeypatch):
+@pytest.mark.parametrize("most, size", [(1, 100), (2, 1 << 10), (4096, 1 << 19)])
+def test_small(spark, most, size, monkeypatch):
     monkeypatch.setattr(R, "SHARD_CONTEXTS", most)
+    monkeypatch.setattr(R, "SHARD_BYTES", size)
+    monkeypatch.setattr(R, "BUCKET_BYTES", size)
+    monkeypatch.setattr(R, "TASK_BYTES", size)
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdé") for _ in range(5))
     say = lambda n: " ".join(word() for _ in range(n))
@@ -44,18 +47,40 @@ def test_small(spark, most, monkeypatch):
     assert R.report(df.limit(0)).count() == 0
 
 
-def test_index():
-    rng = np.random.default_rng(1)
-    parts = [rng.integers(0, 3, 300) for _ in range(4)]
-    s = np.concatenate([x for k, p in enumerate([parts[0], parts[1], parts[0][20:280], parts[2], parts[1][:150]]) for x in (p, [256 + k])])
-    want = [s[a:].tolist() for a in R._suffix_array(s)]
-    assert want == sorted(want)
-    least = R._earliest(R.RunIndex(s))
-    seen = {}
-    for k in range(len(s) - 99):
-        w = s[k : k + 100]
-        if w.max() < 256:
-            assert least[k] == seen.setdefault(w.tobytes(), k)
+def longest(p, parts):
+    """For each position of p the length of the longest string from there that occurs in a part."""
+    return [max(n for n in range(len(p) - i + 1) if any(p[i : i + n] in s for s in parts)) for i in range(len(p))]
+
+
+@pytest.mark.parametrize("depth, letters", [(100, 2), (5, 3), (12, 2)])
+def test_index(depth, letters):
+    rng = np.random.default_rng(depth)
+    base = bytes(rng.integers(97, 97 + letters, 400).astype(np.uint8))
+    parts = []
+    for _ in range(40):
+        x = int(rng.integers(0, 300))
+        part = bytearray(base[x : x + int(rng.integers(1, 168))])
+        if rng.random() < 0.5:
+            part[int(rng.integers(0, len(part)))] = 122
+        parts.append(bytes(part))
+    index = R.RunIndex(np.frombuffer(b"".join(parts), np.uint8), np.array([len(p) for p in parts]), depth)
+    texts = [bytes(rng.integers(97, 98 + letters, int(rng.integers(1, 30))).astype(np.uint8)) for _ in range(20)] + [base[3:80], parts[0]]
+    size = np.array([len(t) for t in texts])
+    last = np.cumsum(size)
+    none = np.zeros(len(texts), np.int64)
+    match, row = index.statistics(np.frombuffer(b"".join(texts), np.uint8).astype(np.int16) + 1, last - size, last, none, none)
+    assert match.tolist() == [n for t in texts for n in longest(t, parts)]
+    least, seen = index.earliest(), {}
+    for k, p in enumerate(parts):
+        for i in range(len(p) - depth + 1):
+            at = int(index.first[k]) + i
+            assert least[at] == seen.setdefault(p[i : i + depth], at)
+
+
+def test_other_columns(spark):
+    rows = [(1, "a" * 300, 7, 1, "x"), (2, "a" * 300, 8, 2, "y")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, rk int, doc int, marks string")
+    assert got(df) == brute([(r[0], r[1]) for r in rows])
 
 
 def test_whole_table(spark):
