@@ -8,13 +8,15 @@ Edge cases: null and empty texts have no words, so no match; items without words
 fewer words than a window is one window by itself; repeated items and repeated rows are each reported;
 items with a null item_id are searched like others: their hits have a null item_id, and in the report all of
 them are one more item in n_items, and none in the digest, which lists item_ids;
-an empty table gives no rows; other columns are not read.
+an empty table gives no rows; a text longer than a slice is a slice by itself; of items that match equally far
+longest_item is the first in the benchmark's order; columns that clash with the results are kept by
+decontaminated() and not read by report(), like all other columns. Windows match by 128 bits of hash a word.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +40,11 @@ class Probes:
     """The suffixes of a block of benchmark items."""
 
     def __init__(self, item_ids: list[int | None], hashes: list[np.ndarray], window: int):
+        """hashes: of each item, the first family's for all words and then the second one's."""
         self.ids = item_ids
-        n = np.array([len(h) for h in hashes], np.int64)
-        self.words = np.concatenate([*hashes, np.zeros(1, T.U64)])
+        n = np.array([len(h) // 2 for h in hashes], np.int64)
+        self.words = np.concatenate([*(h[: len(h) // 2] for h in hashes), np.zeros(1, T.U64)])
+        self.more = np.concatenate([*(h[len(h) // 2 :] for h in hashes), np.zeros(1, T.U64)])
         lo = np.cumsum(n) - n
         self.at, self.item = T.ranges(lo, lo + n)
         self.left = (lo + n)[self.item] - self.at
@@ -125,8 +129,9 @@ def _shards(batches, size: int) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def _sequence(col) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all texts with a 0 after each text; its owner; its place in the text; words of each text."""
+def _sequence(col) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+    """Word hashes of all texts with a 0 after each text; the text of each; where each text starts; words of each text;
+    and the second family's hashes of words of the sequence."""
     buf, off = T.buffer(col)
     starts, ends = T.words(buf, T.ALNUM)
     bounds = T.per_text(starts, off)
@@ -136,7 +141,13 @@ def _sequence(col) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     to = np.arange(len(starts)) + owner
     if len(starts):
         h[to] = T.hashes(buf, starts, ends, fold=True)
-    return h, np.repeat(np.arange(len(n)), n + 1), np.cumsum(n + 1) - (n + 1), n
+    owners = np.repeat(np.arange(len(n)), n + 1)
+
+    def more(at: np.ndarray) -> np.ndarray:
+        k = at - owners[at]
+        return T.hashes(buf, starts[k], ends[k], fold=True, family=1)
+
+    return h, owners, np.cumsum(n + 1) - (n + 1), n, more
 
 
 def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Probes]:
@@ -144,26 +155,26 @@ def _blocks(benchmark: DataFrame, window: int, block_words: int) -> Iterator[Pro
 
     def cut(batches):
         for b in T.slices(batches):
-            h, _, first, n = _sequence(b.column("text"))
+            h, _, first, n, more = _sequence(b.column("text"))
             ids, parts, data = b.column("item_id").to_pylist(), [], []
             for i, item in enumerate(ids):
                 for lo in range(0, max(1, int(n[i]) - window + 1), block_words):
-                    w = h[first[i] + lo : first[i] + min(int(n[i]), lo + block_words + window - 1)]
-                    if len(w):
+                    at = np.arange(first[i] + lo, first[i] + min(int(n[i]), lo + block_words + window - 1))
+                    if len(at):
                         parts.append(item)
-                        data.append(w.tobytes())
+                        data.append(h[at].tobytes() + more(at).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(data, pa.binary())], ["item_id", "words"])
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(cut, "item_id long, words binary")
     ids, hashes, size = [], [], 0
     for r in rows.toLocalIterator():
         h = np.frombuffer(bytes(r["words"]), T.U64)
-        if ids and size + len(h) > block_words:
+        if ids and size + len(h) // 2 > block_words:
             yield Probes(ids, hashes, window)
             ids, hashes, size = [], [], 0
         ids.append(r["item_id"])
         hashes.append(h)
-        size += len(h)
+        size += len(h) // 2
     if ids:
         yield Probes(ids, hashes, window)
 
@@ -197,7 +208,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_w
 
 def _matched(batches, q: Probes, kept: list[str]) -> Iterator[pa.RecordBatch]:
     for b in _shards(batches, SHARD_BYTES):
-        h, owner, first, n = _sequence(b.column("text"))
+        h, owner, first, n, more = _sequence(b.column("text"))
         hits: list[list] = [list(x or []) for x in b.column("hits").to_pylist()]
         longest = b.column("longest").to_numpy(zero_copy_only=False).copy()
         best = b.column("longest_item").to_pylist()
@@ -210,6 +221,12 @@ def _matched(batches, q: Probes, kept: list[str]) -> Iterator[pa.RecordBatch]:
                     longest[d], best[d] = length[k], q.ids[q.item[k]]
             slot, probe = T.ranges(lo, hi)
             pos = sa[slot]
+            at, of = T.ranges(pos, pos + q.need[probe])
+            if len(at):  # the second hashes decide
+                every, back = np.unique(at, return_inverse=True)
+                other = more(every)[back] != q.more[q.at[probe][of] + at - pos[of]]
+                wrong = np.unique(of[other])
+                pos, probe = np.delete(pos, wrong), np.delete(probe, wrong)
             o = np.lexsort((pos, q.item[probe], owner[pos]))
             pos, item, doc, end = pos[o], q.item[probe][o], owner[pos][o], (pos + q.need[probe])[o]
             if len(pos):

@@ -22,6 +22,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import stored
+
 #: License names and the wording that announces them.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -171,8 +173,9 @@ def inherited(found: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """License of each row of files, which has path and text; other columns stay."""
-    return inherited(matched(files, idf(files)))
+    """License of each row of files, which has path and text; other columns stay. Texts are scored once: what they give is
+    written before the joins read it as holders, directories and result."""
+    return inherited(stored(matched(files, idf(files))))
 
 
 #: The documents table has no paths: each hundred documents of a source and language share a directory, whose first one is its licence file; the first of ten thousand is the source's.

@@ -7,14 +7,16 @@ the domains. Document rates r >= 0 minimise
     + RIDGE * sum over documents of (tokens / total) * (r - 1)^2
 
 by projected gradient: a step needs the expected tokens of each domain only, which are one aggregation over
-all documents; the steps so far are a short list from which Spark computes every rate anew, so no state is
-kept between jobs but a few numbers a domain. The rates decide how often a document is taken: its whole
-part, and once more if a hash of doc_id falls below the rest.
+all documents. A step is a few numbers a domain, and the rate follows from the posterior and the list of steps;
+every STORED steps the rates so far are written, so that a job applies few steps. The fit ends when each domain's
+share is within TOLERANCE of its target or no step helps any more; results carry the largest gap that is left. The
+rates decide how often a document is taken: its whole part, and once more if a hash of doc_id falls below the rest.
 
 Edge cases: null and empty texts have no tokens, the prior as posterior and rate 1; null or repeated labels: rows
 without a label are ignored, a document with several counts in each, equal rows of a doc_id teach once; domains without a target keep
 the weight that they have; without labelled rows all documents are of one domain; a null doc_id hashes to 42;
-an empty table gives no rows; columns that clash with the results are only in the way of report().
+an empty table gives no rows; very long texts are worked on alone; report() doesn't read other columns, and taken()
+keeps them all, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,13 +28,13 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .samples import texts_of
-from .session import stored
+from .session import dropped, stored
 
 #: Labelled rows that the classifier is learned from: those with the lowest hash of doc_id; equal rows are one.
 SAMPLE_ROWS = 4_000
 
 BITS, EPOCHS, RATE = 14, 8, 0.5
-RIDGE, STEPS, TOLERANCE = 1e-5, 400, 1e-4
+RIDGE, STEPS, TOLERANCE, STORED = 1e-5, 400, 1e-4, 8
 _SIZE = 1 << BITS
 
 
@@ -93,9 +95,10 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def posteriors(docs: DataFrame, fitted: tuple[list[str], np.ndarray]) -> DataFrame:
-    """doc_id, n_tokens (words) and posterior, an array in the order of the domains."""
+    """docs with n_tokens (words) and posterior, an array in the order of the domains, as the last columns."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted[1])
     domains = len(fitted[0])
+    schema = docs.select("*", F.lit(0).cast("long").alias("n_tokens"), F.expr("cast(array() as array<double>)").alias("posterior")).schema
 
     def run(batches):
         w = shared.value
@@ -107,24 +110,26 @@ def posteriors(docs: DataFrame, fitted: tuple[list[str], np.ndarray]) -> DataFra
             z = np.stack([np.bincount(doc, weights=w[k, f] * x, minlength=len(n)) + w[k, -1] for k in range(domains)])
             p = _softmax(z).T
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * domains, pa.int32()), pa.array(p.ravel(), pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), lists], ["doc_id", "n_tokens", "posterior"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), lists], [*b.schema.names, "n_tokens", "posterior"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>")
+    return docs.mapInArrow(run, schema)
 
 
-def rate(steps: list[np.ndarray]) -> Column:
+def rate(steps: list[np.ndarray], before: Column | None = None) -> Column:
     """The rate of a document after the steps: each adds the step's dot product with the posterior, then cuts at 0.
 
-    A step is the gradient's part per domain; RIDGE pulls towards 1."""
+    A step is the gradient's part per domain; RIDGE pulls towards 1. before: the rate before the steps, 1 at first."""
+    before = F.lit(1.0) if before is None else before
     if not steps:
-        return F.lit(1.0)
+        return before
     many = F.array(*(F.array(*(F.lit(float(x)) for x in s)) for s in steps))
-    return F.aggregate(many, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), r + F.get(s, F.size(s) - 1) * (F.lit(1.0) - r) - F.aggregate(F.zip_with(F.slice(s, 1, F.size(s) - 1), F.col("posterior"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)))
+    return F.aggregate(many, before, lambda r, s: F.greatest(F.lit(0.0), r + F.get(s, F.size(s) - 1) * (F.lit(1.0) - r) - F.aggregate(F.zip_with(F.slice(s, 1, F.size(s) - 1), F.col("posterior"), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)))
 
 
 def rates(scored: DataFrame, domains: list[str], targets: dict[str, float]) -> tuple[list[np.ndarray], dict]:
     """The steps that fit the expected share of each domain to its target, and what they reach."""
     k = len(domains)
+    scored = scored.select("n_tokens", "posterior", F.lit(1.0).alias("before"))
     sums = lambda r: [F.sum(F.col("n_tokens") * r * F.get("posterior", j)).alias(f"t{j}") for j in range(k)]
     expected = lambda r: np.array([x or 0.0 for x in scored.agg(*sums(r)).first()], float)
     start = expected(F.lit(1.0))
@@ -135,43 +140,61 @@ def rates(scored: DataFrame, domains: list[str], targets: dict[str, float]) -> t
     shares = np.where(free, start / total * (left / max(1e-12, start[free].sum() / total) if free.any() else 0), given)
     goal = shares / max(1e-12, shares.sum())
     steps: list[np.ndarray] = []
+    written = 0
     now, size = start, 0.5
     error = lambda x: float(((x / total - goal) ** 2).sum())
     while len(steps) < STEPS and np.abs(now / total - goal).max() > TOLERANCE:
         gap = now / total - goal
         step = np.append(size * gap, size * RIDGE)
-        then = expected(rate([*steps, step]))
+        then = expected(rate([*steps[written:], step], F.col("before")))
         if error(then) < error(now):
             steps.append(step)
             now, size = then, size * 1.6
+            if len(steps) - written >= STORED:
+                later = stored(scored.withColumn("before", rate(steps[written:], F.col("before"))))
+                if written:
+                    dropped(scored.sparkSession, scored)
+                scored, written = later, len(steps)
         elif size < 1e-6:
             break
         else:
             size /= 3
-    return steps, {"domains": domains, "targets": goal.tolist(), "before": (start / total).tolist(), "reached": (now / total).tolist()}
+    if written:
+        dropped(scored.sparkSession, scored)
+    return steps, {"domains": domains, "targets": goal.tolist(), "before": (start / total).tolist(), "reached": (now / total).tolist(), "gap": float(np.abs(now / total - goal).max())}
+
+
+def _copied(scored: DataFrame, steps: list[np.ndarray], doc_id: str) -> DataFrame:
+    """scored with the rate of each row and how often it is taken."""
+    coin = F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(1 << 30)) / float(1 << 30)
+    out = scored.withColumn("rate", F.when(F.col("n_tokens") > 0, rate(steps)).otherwise(F.lit(1.0)))
+    return out.withColumn("copies", (F.floor("rate") + (coin < F.col("rate") - F.floor("rate")).cast("long")).cast("int"))
 
 
 def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> tuple[DataFrame, dict]:
     """doc_id, n_tokens, posterior, rate and copies of each document, and what the mixture reaches."""
-    domains, w = classifier(docs, labelled)
-    scored = stored(posteriors(docs, (domains, w)))
-    steps, reached = rates(scored, domains, targets)
-    coin = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    out = scored.withColumn("rate", F.when(F.col("n_tokens") > 0, rate(steps)).otherwise(F.lit(1.0)))
-    return out.withColumn("copies", (F.floor("rate") + (coin < F.col("rate") - F.floor("rate")).cast("long")).cast("int")), reached
+    fitted = classifier(docs, labelled)
+    scored = stored(posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fitted).drop("text"))
+    steps, reached = rates(scored, fitted[0], targets)
+    return _copied(scored, steps, "doc_id"), reached
 
 
 def report(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
-    """One row per document: its likeliest domain, that one's posterior, its rate and how often it is taken."""
+    """One row per document: its likeliest domain, that one's posterior, its rate and how often it is taken; and the
+    largest gap between a domain's share of the mixture and its target."""
     out, reached = mixed(docs, labelled, targets)
     names = F.array(*map(F.lit, reached["domains"]))
     top = F.array_max("posterior")
-    return out.select("doc_id", "n_tokens", F.element_at(names, F.array_position("posterior", top).cast("int")).alias("domain"), top.alias("posterior"), "rate", "copies")
+    return out.select("doc_id", "n_tokens", F.element_at(names, F.array_position("posterior", top).cast("int")).alias("domain"), top.alias("posterior"), "rate", "copies", F.lit(reached["gap"]).alias("gap"))
 
 
 def taken(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
-    """docs with each row as often as its document is taken; all columns stay. Rows of a doc_id are taken alike."""
-    out, _ = mixed(docs, labelled, targets)
-    often = stored(out.groupBy("doc_id").agg(F.max("copies").alias("__copies")).select(F.col("doc_id").alias("__doc"), "__copies").where("__copies != 1"))
-    joined = docs.join(often, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left")
-    return joined.withColumn("__copy", F.explode(F.expr("array_repeat(1, coalesce(__copies, 1))"))).select(*(docs[c] for c in docs.columns))
+    """docs with each row as often as it is taken; all columns stay. Texts are read again for it, and not shuffled."""
+    fitted = classifier(docs, labelled)
+    scored = stored(posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fitted).drop("text"))
+    steps, _ = rates(scored, fitted[0], targets)
+    dropped(docs.sparkSession, scored)
+    clash = {c: f"__own_{c}" for c in docs.columns if c.lower() in ("n_tokens", "posterior", "rate", "copies", "__copy")}
+    out = _copied(posteriors(docs.withColumnsRenamed(clash), fitted), steps, "doc_id")
+    out = out.withColumn("__copy", F.explode(F.expr("array_repeat(1, copies)"))).drop("n_tokens", "posterior", "rate", "copies", "__copy")
+    return out.withColumnsRenamed({v: k for k, v in clash.items()})

@@ -7,11 +7,13 @@ Spark conditional expression.
 
 Edge cases: a null or empty text has no words and fails the base rule; a document with several labels
 takes the lowest; labels of unknown documents and null labels are ignored; without labels the list is
-empty and only the base rule decides; repeated rows are judged alike; other columns pass through.
+empty and only the base rule decides; repeated rows are judged alike; an empty table gives no rows; very long
+texts are worked on alone; other columns pass through kept(), whatever their names, and report() doesn't read them.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 import numpy as np
@@ -59,17 +61,23 @@ def counts(col) -> dict[str, np.ndarray]:
     first = np.concatenate([[0], newline[:-1] + 1]) if len(newline) else newline
     line_owner = np.searchsorted(off, first, "right") - 1
     worded = np.searchsorted(starts, newline) > np.searchsorted(starts, first)
-    keys = T.hashes(buf, first[worded], newline[worded], fold=False) ^ salt[line_owner[worded]]
     lines = np.bincount(line_owner, minlength=len(n))
-    n_dup = np.bincount(line_owner[worded], minlength=len(n)) - _distinct_by(keys, line_owner[worded], len(n))
+    n_dup = _repeated_lines(buf, first[worded], newline[worded], line_owner[worded], salt, len(n))
     repeated = np.zeros(len(h), bool)
     if len(h) >= 3:
         inside = np.flatnonzero(owner[:-2] == owner[2:])
         g = T.grams(h, 3)[inside] ^ salt[owner[inside]]
         at = T.order(g)
-        same = g[at][1:] == g[at][:-1]
+        same = np.flatnonzero(g[at][1:] == g[at][:-1])
+        one, two = inside[at[:-1][same]], inside[at[1:][same]]
         twice = np.zeros(len(h) - 2, bool)
-        twice[inside[at[1:][same]]] = twice[inside[at[:-1][same]]] = True
+        twice[one] = twice[two] = True
+        alike = owner[one] == owner[two]
+        for j in range(3):
+            size = ends[one + j] - starts[one + j]
+            alike &= (size == ends[two + j] - starts[two + j]) & T.equal(buf, starts[one + j], buf, starts[two + j], size)
+        for t in np.unique(np.concatenate([owner[one[~alike]], owner[two[~alike]]])).tolist():  # windows share a hash
+            twice[bounds[t] : max(bounds[t], bounds[t + 1] - 2)] = _twice([buf[x:y].tobytes() for x, y in zip(starts[bounds[t] : bounds[t + 1]].tolist(), ends[bounds[t] : bounds[t + 1]].tolist())])
         for j in range(3):
             repeated[j : len(h) - 2 + j] |= twice
     lead = ((buf & 0xC0) != 0x80) & T.SPACED[buf]
@@ -87,6 +95,29 @@ def counts(col) -> dict[str, np.ndarray]:
     }
 
 
+def _twice(words: list[bytes]) -> list[bool]:
+    """Which windows of three words are found twice or more."""
+    windows = list(zip(words, words[1:], words[2:]))
+    many = Counter(windows)
+    return [many[w] > 1 for w in windows]
+
+
+def _repeated_lines(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray, salt: np.ndarray, n: int) -> np.ndarray:
+    """Lines of each text that equal an earlier one; lines with one hash are compared."""
+    keys = T.hashes(buf, starts, ends, fold=False) ^ salt[owner]
+    at = T.order(keys)
+    k = keys[at]
+    same = np.flatnonzero(k[1:] == k[:-1])
+    one, two = at[:-1][same], at[1:][same]
+    size = ends[one] - starts[one]
+    alike = (owner[one] == owner[two]) & (size == ends[two] - starts[two]) & T.equal(buf, starts[one], buf, starts[two], size)
+    out = np.bincount(owner[two], minlength=n)
+    for t in np.unique(np.concatenate([owner[one[~alike]], owner[two[~alike]]])).tolist():  # lines share a hash
+        own = [buf[starts[i] : ends[i]].tobytes() for i in np.flatnonzero(owner == t).tolist()]
+        out[t] = len(own) - len(set(own))
+    return out
+
+
 def _distinct_by(keys: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     """How many distinct keys each owner has; keys of different owners differ."""
     if not len(keys):
@@ -182,7 +213,7 @@ def expression(rules: list[Rule], col=F.col) -> Column:
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """docs with a struct __counts of the counts of COUNTS."""
+    """docs with a struct __counts of the counts of COUNTS, as the last column."""
     schema = docs.select("*", F.struct(*(F.lit(0).cast("long").alias(c) for c in COUNTS)).alias("__counts")).schema
 
     def run(batches):
@@ -230,4 +261,6 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that neither the base rule nor the list rejects; all columns stay."""
     rules = rules_of(docs, labels)
     at = lambda k: F.col(f"__counts.{k}")
-    return counted(docs).where(~base_failed(at) & ~expression(rules, at)).drop("__counts")
+    clash = {c: f"__own_{c}" for c in docs.columns if c.lower() == "__counts"}
+    out = counted(docs.withColumnsRenamed(clash)).where(~base_failed(at) & ~expression(rules, at)).drop("__counts")
+    return out.withColumnsRenamed({v: k for k, v in clash.items()})

@@ -44,13 +44,14 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report_with_planted(_table(spark, sf_dir, "conversations"))
 
 
-#: Weights that the domains, here the languages of labelled documents, shall have among all words.
-TARGETS = {"en": 0.4, "de": 0.25, "fr": 0.2, "es": 0.15}
+#: Weights that the domains shall have among all words.
+TARGETS = {"good": 0.75, "plain": 0.2, "toxic": 0.05}
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id and label of the documents that the labels table knows."""
-    return docs.select("doc_id", F.col("lang").alias("label")).join(labels.select("doc_id").distinct(), "doc_id")
+    """doc_id and domain of the labelled documents, by the labels table alone: toxic, else good or plain by quality."""
+    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "plain")
+    return labels.select("doc_id", domain.alias("label")).where("label is not null")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

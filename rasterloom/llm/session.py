@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """A new folder name under spark.checkpoint.dir; where that is unset, a temporary folder if Spark runs in one process."""
     top = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError(f"{SETTING} must name a folder that the cluster shares")
         top = f"{tempfile.gettempdir()}/rasterloom-shared"
         spark.conf.set(SETTING, top)
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"

@@ -142,6 +142,26 @@ def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool, fa
     return out
 
 
+def equal(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether x[a:a+n] and y[b:b+n] are the same bytes, for all parts."""
+    out = np.ones(len(n), bool)
+    one, two = lanes(x), lanes(y) if y is not x else None
+    two = one if two is None else two
+    live = np.flatnonzero(n > 0)
+    a, b, left = a[live], b[live], n[live]
+    for k in range(_LANES):
+        if not len(live):
+            return out
+        m = _FIRST[np.minimum(left, 8)]
+        same = (one[a] & m) == (two[b] & m)
+        out[live[~same]] = False
+        more = np.flatnonzero(same & (left > 8))
+        live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8
+    for i, p, q, m in zip(live.tolist(), a.tolist(), b.tolist(), left.tolist()):
+        out[i] = bool((x[p : p + m] == y[q : q + m]).all())
+    return out
+
+
 def per_text(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many of the sorted starts lie before each offset: the words of text i are [out[i], out[i+1])."""
     return np.searchsorted(starts, offsets)

@@ -10,7 +10,9 @@ A text is cut where the tokenizer's own pattern always splits (a single space or
 visible characters); each distinct piece is encoded once and kept in the worker.
 
 Edge cases: a null or empty text is the end id alone; rows with the same doc_id follow each other in the
-order of their ids' checksum; a null doc_id comes first; an empty table gives an empty code and no rows.
+order of their ids' checksum; a null doc_id comes first; an empty table gives an empty code and no rows; a very
+long text is worked on alone; with a tokenizer that splits otherwise texts are encoded whole; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -65,6 +67,10 @@ def pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[keep], stops[keep]
 
 
+class Crossed(Exception):
+    """A token crosses pieces, as with a tokenizer that splits otherwise."""
+
+
 class Encoder:
     """A tokenizer with the ids of the pieces that it has met."""
 
@@ -85,6 +91,7 @@ class Encoder:
     def forget(self) -> None:
         self.keys, self.first, self.n = np.zeros(0, T.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, self.dtype)
+        self.bytes, self.place, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -113,8 +120,8 @@ class Encoder:
                 got = np.array(self._plain([raw.tobytes().decode()])[0], np.int64)
                 end, want = np.cumsum(self.width[got]), np.cumsum(size)
                 cut = np.searchsorted(end, want) + 1
-                if (end[np.minimum(cut, len(end)) - 1] != want).any():
-                    raise ValueError("a token crosses pieces")
+                if len(end) == 0 or (end[np.minimum(cut, len(end)) - 1] != want).any():
+                    raise Crossed
                 per = np.diff(cut, prepend=0)
                 if gap:
                     got = np.delete(got, cut - per)
@@ -130,21 +137,41 @@ class Encoder:
 
     def __call__(self, col) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of an Arrow column, each with the end id, and how many each text has."""
-        buf, off = T.buffer(col)
+        try:
+            got = self._by_pieces(*T.buffer(col))
+        except Crossed:
+            self.forget()
+            got = None
+        if got is not None:
+            return got
+        ids = [[*g, END] for g in self._plain(T.strings(col).to_pylist())]
+        return np.array([x for g in ids for x in g], self.dtype), np.array([len(g) for g in ids], np.int64)
+
+    def _by_pieces(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The ids by distinct pieces, whose bytes are compared; nothing if two pieces share a hash."""
         starts, ends = pieces(buf, off)
         keys, first, _, inv = T.distinct(T.hashes(buf, starts, ends, fold=False))
+        if not ((ends[first] - starts[first])[inv] == ends - starts).all() or not T.equal(buf, starts, buf, starts[first][inv], ends - starts).all():
+            return None
         if len(self.keys) > KEPT_PIECES:
             self.forget()
         slot = np.searchsorted(self.keys, keys)
         known = slot < len(self.keys)
         known[known] = self.keys[slot[known]] == keys[known]
-        new = np.flatnonzero(~known)
+        old, new = np.flatnonzero(known), np.flatnonzero(~known)
+        size = ends[first] - starts[first]
+        if len(old) and not ((self.size[slot[old]] == size[old]).all() and T.equal(self.bytes, self.place[slot[old]], buf, starts[first[old]], size[old]).all()):
+            return None
         if len(new):
             turn, ids, n = self._encode(buf, starts[first[new]], ends[first[new]])
-            k = np.concatenate([self.keys, keys[new[turn]]])
+            own = new[turn]
+            k = np.concatenate([self.keys, keys[own]])
             o = T.order(k)
             self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(n) - n])[o]
             self.n = np.concatenate([self.n, n])[o]
+            self.place = np.concatenate([self.place, len(self.bytes) + np.cumsum(size[own]) - size[own]])[o]
+            self.size = np.concatenate([self.size, size[own]])[o]
+            self.bytes = np.concatenate([self.bytes, buf[T.ranges(starts[first[own]], ends[first[own]])[0]]])
             self.keys, self.ids = k[o], np.concatenate([self.ids, ids])
             slot = np.searchsorted(self.keys, keys)
         of = slot[inv]

@@ -38,6 +38,7 @@ def test_counts(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     check(Q.report(d, none), docs)
     clash = d.withColumn("n_words", F.lit("x"))
+    assert Q.kept(d.withColumn("__counts", F.lit(1)), none).columns == ["doc_id", "text", "__counts"]
     kept = Q.kept(clash, none)
     assert kept.columns == clash.columns and [r.doc_id for r in kept.collect()] == [None]
     assert Q.report(d.limit(0), none).count() == 0
