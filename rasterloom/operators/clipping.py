@@ -34,11 +34,18 @@ def _inside(m: np.ndarray, ring: np.ndarray) -> np.ndarray:
     return (span & (m[:, 0:1] < x)).sum(axis=1) % 2 == 1
 
 
-def _split(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Pieces (p, q) of the edges of a, cut where b meets them."""
-    p, d = a, np.roll(a, -1, axis=0) - a
-    q, e = b, np.roll(b, -1, axis=0) - b
-    w = q[None] - p[:, None]
+def _edges(ring: np.ndarray) -> np.ndarray:
+    """Edges (p, q) of a ring."""
+    return np.stack([ring, np.roll(ring, -1, axis=0)], axis=1)
+
+
+def _split(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Pieces (p, q) of edges, cut where the other edges meet them."""
+    if not len(own) or not len(other):
+        return own
+    p, d = own[:, 0], own[:, 1] - own[:, 0]
+    b, e = other[:, 0], other[:, 1] - other[:, 0]
+    w = b[None] - p[:, None]
     cross = d[:, None, 0] * e[None, :, 1] - d[:, None, 1] * e[None, :, 0]
     with np.errstate(divide="ignore", invalid="ignore"):
         t = (w[..., 0] * e[None, :, 1] - w[..., 1] * e[None, :, 0]) / cross
@@ -46,70 +53,74 @@ def _split(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     scale = np.hypot(*d.T)[:, None] * np.hypot(*e.T)[None] + 1e-300
     crossing = np.abs(cross) > _EPS * scale
     crossing &= (t > _EPS) & (t < 1 - _EPS) & (u > -_EPS) & (u < 1 + _EPS)
-    # where edges lie on each other, the ends of b's cut a's
+    # where edges lie on each other, the ends of the other ones cut
     n2 = (d * d).sum(axis=1)[:, None]
     along = (w * d[:, None]).sum(axis=-1) / n2
     off = np.abs(w[..., 0] * d[:, None, 1] - w[..., 1] * d[:, None, 0]) / np.sqrt(n2)
     touching = (off < _EPS * (1 + np.abs(b).max())) & (along > _EPS) & (along < 1 - _EPS)
-    out = []
-    for i in range(len(a)):
+    met = (crossing | touching).any(axis=1)
+    out = [own[~met]]
+    for i in np.flatnonzero(met).tolist():
         cuts = np.unique(np.concatenate([[0.0], t[i][crossing[i]], along[i][touching[i]], [1.0]]))
         cuts = cuts[np.concatenate([[True], np.diff(cuts) > _EPS])]
         cuts[-1] = 1.0
         points = p[i] + cuts[:, None] * d[i]
-        points[-1] = a[(i + 1) % len(a)]
+        points[-1] = own[i, 1]
         out.append(np.stack([points[:-1], points[1:]], axis=1))
     return np.concatenate(out)
 
 
-def _key(v) -> tuple:
-    return (round(float(v[0]), 7) + 0.0, round(float(v[1]), 7) + 0.0)
+def _keys(pieces: np.ndarray) -> list[tuple[complex, complex]]:
+    """The ends of pieces, rounded so that equal points compare equal."""
+    r = np.round(pieces, 7) + 0.0
+    return list(zip((r[:, 0, 0] + 1j * r[:, 0, 1]).tolist(), (r[:, 1, 0] + 1j * r[:, 1, 1]).tolist()))
 
 
-def _rings(pieces: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+def _rings(pieces: np.ndarray) -> list[np.ndarray]:
     """Closed walks along the pieces; where several go on, the one that turns most to the right."""
-    leaving: dict[tuple, list[int]] = {}
-    for k, (p, _) in enumerate(pieces):
-        leaving.setdefault(_key(p), []).append(k)
-    out, free = [], set(range(len(pieces)))
+    ends = _keys(pieces)
+    leaving: dict[complex, list[int]] = {}
+    for k, (p, _) in enumerate(ends):
+        leaving.setdefault(p, []).append(k)
+    way = pieces[:, 1] - pieces[:, 0]
+    out, free = [], [True] * len(pieces)
     for start in range(len(pieces)):
-        if start not in free:
-            continue
         walk, k = [], start
-        while k in free:
-            free.discard(k)
-            p, q = pieces[k]
-            walk.append(p)
-            onward = [j for j in leaving.get(_key(q), ()) if j in free]
+        while free[k]:
+            free[k] = False
+            walk.append(k)
+            onward = [j for j in leaving.get(ends[k][1], ()) if free[j]]
             if not onward:
                 break
-            d = q - p
-            turn = lambda j, d=d: np.arctan2(*(np.array([d[0] * f[1] - d[1] * f[0], d @ f]) if (f := pieces[j][1] - pieces[j][0]) is not None else ()))
-            k = min(onward, key=turn)
+            d = way[k]
+            k = onward[0] if len(onward) == 1 else min(onward, key=lambda j: np.arctan2(d[0] * way[j][1] - d[1] * way[j][0], d @ way[j]))  # noqa: B023
         if len(walk) > 2:
-            out.append(np.array(walk))
+            out.append(pieces[walk, 0])
     return out
 
 
 def clipped(a: np.ndarray, b: np.ndarray, how: str) -> list[np.ndarray]:
-    """All rings of the union or the difference of two simple rings: outlines counter-clockwise, holes clockwise."""
+    """All rings of the union or the difference of two simple rings: outlines counter-clockwise, holes clockwise.
+
+    Edges of a whose boxes don't meet the box of b are outside of b, so they are kept as they are."""
     a, b = _oriented(a), _oriented(b)
     if len(a) < 3 or len(b) < 3:
         return ([a] if len(a) > 2 else []) + ([b] if len(b) > 2 and how == "union" else [])
-    fa, fb = _split(a, b), _split(b, a)
-    shared = {(_key(p), _key(q)) for p, q in fb}
-    same = np.array([(_key(p), _key(q)) in shared for p, q in fa])
-    against = np.array([(_key(q), _key(p)) in shared for p, q in fa])
-    own = {(_key(p), _key(q)) for p, q in fa}
-    taken = np.array([(_key(p), _key(q)) in own or (_key(q), _key(p)) in own for p, q in fb])
+    ea, eb = _edges(a), _edges(b)
+    margin = 1e-6 * (1 + np.abs(b).max())
+    near = ((ea.min(axis=1) <= b.max(axis=0) + margin) & (ea.max(axis=1) >= b.min(axis=0) - margin)).all(axis=1)
+    fa, fb = _split(ea[near], eb), _split(eb, ea[near])
+    ka, kb = _keys(fa), _keys(fb)
+    shared, own = set(kb), set(ka)
+    same = np.array([k in shared for k in ka], bool)
+    against = np.array([k[::-1] in shared for k in ka], bool)
+    taken = np.array([k in own or k[::-1] in own for k in kb], bool)
     ina, inb = _inside(fa.mean(axis=1), b), _inside(fb.mean(axis=1), a)
     if how == "union":
-        keep_a, keep_b = (~ina & ~same & ~against) | same, ~inb & ~taken
-        pieces = [*map(tuple, fa[keep_a]), *map(tuple, fb[keep_b])]
+        pieces = [ea[~near], fa[(~ina & ~same & ~against) | same], fb[~inb & ~taken]]
     else:
-        keep_a, keep_b = (~ina & ~same & ~against) | against, inb & ~taken
-        pieces = [*map(tuple, fa[keep_a]), *((q, p) for p, q in fb[keep_b])]
-    return _rings(pieces)
+        pieces = [ea[~near], fa[(~ina & ~same & ~against) | against], fb[inb & ~taken][:, ::-1]]
+    return _rings(np.concatenate(pieces))
 
 
 def outline(rings: list[np.ndarray]) -> np.ndarray | None:
@@ -139,24 +150,28 @@ def combined(pairs: DataFrame, a: str, b: str, how: str) -> DataFrame:
 def united(discs: DataFrame, radius: float, segments: int = 32) -> DataFrame:
     """id and ring of the union of the discs of a stroke (id, t, x, y), added in order; of parts that don't meet the largest.
 
-    Points of a stroke come sorted and stream through; the outline so far is all that is kept."""
+    Points of a stroke come sorted and stream through; the outline so far and its centres are all that is kept. A centre
+    that comes again adds nothing."""
     angle = np.arange(segments) * 2 * np.pi / segments
     disc = np.stack([np.cos(angle), np.sin(angle)], axis=1) * radius
 
     def run(batches):
-        now, so_far, out = None, None, []
+        now, so_far, out, seen = None, None, [], set()
         for df in batches:
             for i, x, y in zip(df["id"], df["x"], df["y"]):
                 own = disc + (x, y)
                 if i != now and now is not None:
                     out.append((now, _struct(np.vstack([so_far, so_far[:1]]))))
                 if i != now:
-                    now, so_far = i, own
-                else:
+                    now, so_far, seen = i, own, {(x, y)}
+                elif (x, y) not in seen:
+                    seen.add((x, y))
                     so_far = outline(clipped(so_far, own, "union"))[:-1]
             yield pd.DataFrame(out, columns=["id", "ring"])
             out = []
         if now is not None:
             yield pd.DataFrame([(now, _struct(np.vstack([so_far, so_far[:1]])))], columns=["id", "ring"])
 
-    return discs.repartition("id").sortWithinPartitions("id", "t").select("id", "x", "y").mapInPandas(run, f"id long, ring {RING}")
+    # the work is in the tasks, not in the bytes by which partitions are merged
+    tasks = int(discs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return discs.repartition(tasks, "id").sortWithinPartitions("id", "t").select("id", "x", "y").mapInPandas(run, f"id long, ring {RING}")

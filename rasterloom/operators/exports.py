@@ -76,18 +76,19 @@ def mask_label(name: Column) -> Column:
 def unique_names(rows: DataFrame, group: str, order: list[str], stem: str, first: str = "{}.ome.tif", later: str = "{}_{}.ome.tif", fold: bool = True) -> DataFrame:
     """name: the stem in a form that no earlier row of its group has; greedy in order.
 
-    Rows of a group come sorted and stream through; what is kept of a group is the set of its names."""
+    Rows of a group come sorted and stream through; what is kept of a group is the set of its names, and of each stem
+    the last number given: smaller ones stay taken."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, used = None, set()
+        now, used, last = None, set(), {}
         for df in batches:
             names = []
             for g, s in zip(df[group], df[stem]):
                 if g != now:
-                    now, used = g, set()
-                name, n = first.format(s), 2
+                    now, used, last = g, set(), {}
+                name, n = first.format(s), last.get(s, 1) + 1
                 while (name.lower() if fold else name) in used:
-                    name, n = later.format(s, n), n + 1
+                    name, last[s], n = later.format(s, n), n, n + 1
                 used.add(name.lower() if fold else name)
                 names.append(name)
             yield df.assign(name=names)

@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Fixed value: the standard form of a UUID with its version and variant.
 UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 
 
+#: Bits of a place within a block of places that are numbered together.
+_BLOCK = 16
+
+
 def is_uuid(c: Column) -> Column:
     return F.coalesce(c.rlike(UUID), F.lit(False))
 
@@ -44,12 +49,18 @@ def resolved(owners: DataFrame, owner: str, ids: str, targets: DataFrame, target
 
 
 def overlaid(base: DataFrame, over: DataFrame, key: str) -> DataFrame:
-    """base (key, pos, …) with the rows of over in place of those with the same key; new ones follow."""
-    last = base.agg(F.coalesce(F.max("pos"), F.lit(-1)).alias("__last"))
+    """base (key, pos, …) with the rows of over in place of those with the same key; new ones follow.
+
+    New rows are numbered in blocks of places: within a block by a window, blocks by the counts of those before."""
+    last = base.agg(F.coalesce(F.max("pos"), F.lit(-1)).cast("long").alias("last")).first()["last"]
     kept = base.join(over.select(key), key, "left_anti")
     there = over.join(base.select(key, F.col("pos").alias("__pos")), key, "left")
-    new = W.orderBy("pos")
-    fresh = there.where("__pos is null").withColumn("__n", F.row_number().over(new)).join(last).withColumn("pos", (F.col("__last") + F.col("__n")).cast("long"))
+    block = F.shiftright(F.col("pos").cast("long"), _BLOCK).alias("__block")
+    new = there.where("__pos is null").select("*", block)
+    counts = new.groupBy("__block").agg(F.count("*").alias("__rows"))
+    before = F.sum("__rows").over(W.orderBy("__block")) - F.col("__rows")  # a row for each block of 2^_BLOCK places
+    n = F.row_number().over(W.partitionBy("__block").orderBy("pos", key))
+    fresh = new.withColumn("__n", n).join(counts.select("__block", before.alias("__before")), "__block").withColumn("pos", F.lit(last) + F.col("__before") + F.col("__n"))
     same = there.where("__pos is not null").withColumn("pos", F.col("__pos").cast("long"))
     cols = base.columns
     return kept.withColumn("pos", F.col("pos").cast("long")).select(cols).unionByName(same.select(cols)).unionByName(fresh.select(cols))

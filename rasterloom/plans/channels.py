@@ -38,14 +38,14 @@ CHANNELS = """SELECT CAST(n_nationkey AS BIGINT) AS id, n_regionkey AS image, CA
 
 def rows(spark, sf_dir):
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").where("c_nationkey < 20").select(
-        k.alias("row"), F.col("c_mktsegment").alias("group"), k.alias("pos"), F.col("c_nationkey").cast("long").alias("channel"), F.when(k % 5 == 0, False).alias("on"),
+    return table(spark, sf_dir, "customer").select(
+        k.alias("row"), F.col("c_mktsegment").alias("group"), k.alias("pos"), (F.col("c_nationkey") % 20).cast("long").alias("channel"), F.when(k % 5 == 0, False).alias("on"),
         F.when(k % 11 == 0, "full").when(k % 11 == 1, "outline").alias("style"), F.lower(F.lpad(F.hex(k * 7919 % 16777216), 6, "0")).alias("colour"), (k % 100).alias("lower"), (k % 100 + 500).alias("upper"),
     )
 
 
-ROWS = """SELECT c_custkey AS row, c_mktsegment AS "group", c_custkey AS pos, CAST(c_nationkey AS BIGINT) AS channel, CASE WHEN c_custkey % 5 = 0 THEN false END AS "on",
-  CASE WHEN c_custkey % 11 = 0 THEN 'full' WHEN c_custkey % 11 = 1 THEN 'outline' END AS style, printf('%06x', CAST(c_custkey * 7919 % 16777216 AS BIGINT)) AS colour, c_custkey % 100 AS lower, c_custkey % 100 + 500 AS upper FROM customer WHERE c_nationkey < 20"""
+ROWS = """SELECT c_custkey AS row, c_mktsegment AS "group", c_custkey AS pos, CAST(c_nationkey % 20 AS BIGINT) AS channel, CASE WHEN c_custkey % 5 = 0 THEN false END AS "on",
+  CASE WHEN c_custkey % 11 = 0 THEN 'full' WHEN c_custkey % 11 = 1 THEN 'outline' END AS style, printf('%06x', CAST(c_custkey * 7919 % 16777216 AS BIGINT)) AS colour, c_custkey % 100 AS lower, c_custkey % 100 + 500 AS upper FROM customer"""
 
 ACTIVE = "MACHINERY"
 

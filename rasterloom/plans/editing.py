@@ -40,10 +40,10 @@ def p29_p30_m17_patched(spark, sf_dir):
     return E.patched(s, "id", s.where("id % 7 = 0").select("id", F.lit("patched").alias("label"), F.when(F.col("id") % 14 == 0, 99).alias("size")), ["label", "size"])
 
 
-@query("SELECT c_custkey AS row, c_nationkey AS channel FROM customer WHERE c_nationkey < 10 UNION ALL SELECT 1000000 + n_nationkey, n_nationkey FROM nation WHERE n_nationkey >= 10 OR n_nationkey NOT IN (SELECT c_nationkey FROM customer)")
+@query("SELECT c_custkey AS row, c_nationkey AS channel FROM customer UNION ALL SELECT 1000000 + 2 * n_nationkey, 2 * n_nationkey FROM nation WHERE 2 * n_nationkey NOT IN (SELECT c_nationkey FROM customer)")
 def m11_channels_added_once(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").where("c_nationkey < 10").select(F.col("c_custkey").alias("row"), F.col("c_nationkey").alias("channel"))
-    return E.added_once(rows, "channel", table(spark, sf_dir, "nation").select((F.lit(1000000).cast("long") + F.col("n_nationkey")).alias("row"), F.col("n_nationkey").alias("channel")))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row"), F.col("c_nationkey").alias("channel"))
+    return E.added_once(rows, "channel", table(spark, sf_dir, "nation").select((F.lit(1000000).cast("long") + 2 * F.col("n_nationkey")).alias("row"), (2 * F.col("n_nationkey")).alias("channel")))
 
 
 @query(f"SELECT id FROM ({SHAPES}) WHERE id NOT IN (SELECT l_partkey FROM lineitem WHERE l_orderkey % 50 = 0)")
@@ -51,11 +51,11 @@ def j21_ungrouped_shapes(spark, sf_dir):
     return E.ungrouped(shapes(spark, sf_dir), table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_partkey").alias("shape"))).select("id")
 
 
-@query(f"SELECT id, kind FROM ({SHAPES}) WHERE id IN (SELECT l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 50 = 1)) OR id < 5")
+@query(f"SELECT id, kind FROM ({SHAPES}) WHERE id IN (SELECT l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 50 = 1)) OR id % 97 = 5")
 def m25_copied_shapes(spark, sf_dir):
     s = shapes(spark, sf_dir)
     members = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("shape"), F.col("l_orderkey").alias("group"))
-    return E.copied(s, members, table(spark, sf_dir, "orders").where("o_custkey % 50 = 1").select(F.col("o_orderkey").alias("group")), s.where("id < 5")).select("id", "kind")
+    return E.copied(s, members, table(spark, sf_dir, "orders").where("o_custkey % 50 = 1").select(F.col("o_orderkey").alias("group")), s.where("id % 97 = 5")).select("id", "kind")
 
 
 @query(f"SELECT id, CASE WHEN kind IN ('polygon', 'point', 'text') THEN [9, 8, 7, size] ELSE [1, 2, 3, size] END AS fill, CASE WHEN kind IN ('polygon', 'polyline', 'line') THEN [9, 8, 7, 200] ELSE [4, 5, 6, 200] END AS line FROM ({SHAPES})")

@@ -34,18 +34,10 @@ def instances(spark, sf_dir):
     )
 
 
-@query(f"""WITH i AS (SELECT *, CAST(ceil(width / 256.0) AS BIGINT) AS nc, CAST(ceil(height / 200.0) AS BIGINT) AS nr FROM ({_INSTANCES}) WHERE instance < 200),
-  k AS (SELECT i.*, c, chr(CAST(97 + c AS INT)) AS channel FROM i CROSS JOIN range(2) t(c))
-  SELECT instance, (r + 1) || '-' || (q + 1) || '-' || channel AS key, CAST(((c * 2 + 1) * nr + r) * nc + q + 1 AS BIGINT) AS frame FROM k, range(12) a(r), range(24) b(q) WHERE r < nr AND q < nc""")
-def s13_full_frames(spark, sf_dir):
-    i = instances(spark, sf_dir).where("instance < 200").withColumn("planes", F.lit(2)).withColumn("channels", F.array(F.lit("a"), F.lit("b")))
-    return S.full_frames(i)
-
-
 @query(f"""WITH i AS (SELECT *, CAST(ceil(width / 256.0) AS BIGINT) AS nc, CAST(ceil(height / 200.0) AS BIGINT) AS nr FROM ({_INSTANCES})),
   k AS (SELECT i.*, c, chr(CAST(97 + c AS INT)) AS channel FROM i CROSS JOIN range(2) t(c))
   SELECT instance, (r + 1) || '-' || (q + 1) || '-' || channel AS key, CAST(((c * 2 + 1) * nr + r) * nc + q + 1 AS BIGINT) AS frame FROM k, range(8) a(r), range(14) b(q) WHERE r < nr AND q < nc""")
-def s13_all_full_frames(spark, sf_dir):
+def s13_full_frames(spark, sf_dir):
     return S.full_frames(instances(spark, sf_dir).withColumn("planes", F.lit(2)).withColumn("channels", F.array(F.lit("a"), F.lit("b"))))
 
 
@@ -123,16 +115,9 @@ def j20_missing_folders(spark, sf_dir):
     return X.missing_folders(table(spark, sf_dir, "customer").select(name(F.col("c_custkey") % 40).alias("folder")), table(spark, sf_dir, "nation").select(F.upper(name(F.col("n_nationkey"))).alias("folder")))
 
 
-@query("""WITH r AS (SELECT c_nationkey % 5 AS image, c_mktsegment AS g, c_custkey % 97 AS f FROM customer WHERE c_custkey < 120), o AS (SELECT image, g FROM r GROUP BY ALL HAVING bool_and(f % 11 <> 3))
-  SELECT image, coalesce(max(g) FILTER (g = 'MACHINERY'), min(g)) AS "group" FROM o GROUP BY image""")
-def j19_complete_folder_maps(spark, sf_dir):
-    r = table(spark, sf_dir, "customer").where("c_custkey < 120").select((F.col("c_nationkey") % 5).alias("image"), F.col("c_mktsegment").alias("group"), (F.col("c_custkey") % 97).alias("folder"))
-    return X.complete_folder_map(r, r.where("folder % 11 <> 3"), "MACHINERY")
-
-
 @query("""WITH r AS (SELECT c_nationkey % 5 AS image, c_mktsegment AS g, c_custkey % 11 = 3 AND (c_nationkey % 5 + length(c_mktsegment)) % 3 = 0 AS missing FROM customer), o AS (SELECT image, g FROM r GROUP BY ALL HAVING NOT bool_or(missing))
   SELECT image, coalesce(max(g) FILTER (g = 'MACHINERY'), min(g)) AS "group" FROM o GROUP BY image""")
-def j19_all_complete_folder_maps(spark, sf_dir):
+def j19_complete_folder_maps(spark, sf_dir):
     image = F.col("c_nationkey") % 5
     r = table(spark, sf_dir, "customer").select(image.alias("image"), F.col("c_mktsegment").alias("group"), F.col("c_custkey").alias("folder"))
     return X.complete_folder_map(r, r.where(~((F.col("folder") % 11 == 3) & ((F.col("image") + F.length("group")) % 3 == 0))), "MACHINERY")
@@ -176,11 +161,11 @@ def f80_roi_labels(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", X.roi_label(name, about, F.when(k == 3, F.concat(F.lit("a:b:"), F.col("p_size").cast("string"))).otherwise(" ")).alias("label"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size = 1 THEN NULL ELSE round(CAST((59 - p_size) AS DOUBLE) * 90.0 / (p_size - 1), 6) END AS s, CASE WHEN p_size = 1 THEN 'estimating' WHEN ceil((59 - p_size) * 90.0 / (p_size - 1) / 60) <= 1 THEN 'about a minute left' ELSE CAST(ceil((59 - p_size) * 90.0 / (p_size - 1) / 60) AS BIGINT) || ' minutes left' END AS said FROM (SELECT p_partkey, p_size FROM part WHERE p_size < 59)")
+@query("SELECT p_partkey, CASE WHEN p_size = 1 THEN NULL ELSE round(CAST((59 - p_size) AS DOUBLE) * 90.0 / (p_size - 1), 6) END AS s, CASE WHEN p_size = 1 THEN 'estimating' WHEN ceil((59 - p_size) * 90.0 / (p_size - 1) / 60) <= 1 THEN 'about a minute left' ELSE CAST(ceil((59 - p_size) * 90.0 / (p_size - 1) / 60) AS BIGINT) || ' minutes left' END AS said FROM part")
 def a16_f97_eta(spark, sf_dir):
     done = F.col("p_size") - 1
     s = X.eta_seconds(done, F.lit(58), F.lit(90.0))
-    return table(spark, sf_dir, "part").where("p_size < 59").select("p_partkey", F.round(s, 6).alias("s"), X.minutes_left(s).alias("said"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(s, 6).alias("s"), X.minutes_left(s).alias("said"))
 
 
 @query("""WITH p AS (SELECT user_id AS stroke, event_id AS t, CAST(event_id % 37 AS DOUBLE) AS x, CAST(user_id % 11 AS DOUBLE) AS y, lag(CAST(event_id % 37 AS DOUBLE)) OVER w AS px FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),

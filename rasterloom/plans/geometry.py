@@ -206,9 +206,9 @@ def t10_union_and_difference(spark, sf_dir):
     """Overlapping hulls of neighbouring embeddings; tests/test_clipping.py checks areas."""
     h = O.hulls(rings(spark, sf_dir)).select("id", "ring")
     pairs = O.overlaps(h, 25.0).join(h.select(F.col("id").alias("a"), F.col("ring").alias("ring_a")), "a").join(h.select(F.col("id").alias("b"), F.col("ring").alias("ring_b")), "b")
-    union = K.combined(pairs, "ring_a", "ring_b", "union").select("a", "b", G.area(F.col("ring")).alias("union_area"))
-    minus = K.combined(pairs, "ring_a", "ring_b", "difference").select("a", "b", G.area(F.col("ring")).alias("difference_area"))
-    return union.join(minus, ["a", "b"])
+    pairs = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b")
+    union = K.combined(pairs, "ring_a", "ring_b", "union").withColumn("union_area", G.area(F.col("ring")))
+    return K.combined(union, "ring_a", "ring_b", "difference").select("a", "b", "union_area", G.area(F.col("ring")).alias("difference_area"))
 
 
 @query()

@@ -10,7 +10,7 @@ def test_full_frames_of_all_orders(spark):
     for o in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", "o_custkey").collect():
         nc, nr = -(-(o.o_custkey % 5 + 1) * 700 // 256), -(-(o.o_custkey % 3 + 1) * 500 // 200)
         want |= {(o.o_orderkey, f"{r + 1}-{q + 1}-{'ab'[c]}", ((c * 2 + 1) * nr + r) * nc + q + 1) for c in range(2) for r in range(nr) for q in range(nc)}
-    got = [tuple(r) for r in catalog.queries()["s13_all_full_frames"](spark, SF).select("instance", "key", "frame").collect()]
+    got = [tuple(r) for r in catalog.queries()["s13_full_frames"](spark, SF).select("instance", "key", "frame").collect()]
     assert len(got) == len(want) and set(got) == want
 
 
@@ -24,4 +24,4 @@ def test_folder_maps_of_all_customers(spark):
         if ok and (group == "MACHINERY" or image not in want):
             want[image] = group
     assert not all(whole.values()) and want
-    assert {r.image: r.group for r in catalog.queries()["j19_all_complete_folder_maps"](spark, SF).collect()} == want
+    assert {r.image: r.group for r in catalog.queries()["j19_complete_folder_maps"](spark, SF).collect()} == want
