@@ -14,7 +14,8 @@ links and a spanning forest, never all pairs. Classes are the connected componen
 Edge cases: words are runs of ASCII letters and digits and of all characters beyond ASCII, A-Z in lower
 case; a text of one to four words is one shingle; null and empty texts and those without words link to
 nothing and are classes by themselves; equal texts and repeated rows are links of each other; a null
-doc_id takes part, and a class of such rows alone has a null class_id; an empty table gives no rows.
+doc_id takes part, and a class of such rows alone has a null class_id; an empty table gives no rows; a very long
+text is sketched alone; links() doesn't read other columns, and deduplicated() keeps them all.
 """
 
 from __future__ import annotations

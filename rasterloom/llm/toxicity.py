@@ -8,7 +8,8 @@ and the L1 term leaves most weights at zero, so that the rest is a small table (
 entries) which is broadcast. Scoring is one pass without a shuffle.
 
 Edge cases: null and empty texts have no feature and get the bias alone; a document with several labels
-takes the highest; without labels all scores are 0.5; repeated rows score alike.
+takes the highest; without labels all scores are 0.5; repeated rows score alike; an empty table gives no rows;
+very long texts are worked on alone; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -20,3 +20,10 @@ def test_edges(spark):
     assert len(rows) == 5 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
     assert {r.score for r in X.report(docs, labels.limit(0)).collect()} == {0.5}
     assert X.report(docs.limit(0), labels).count() == 0
+
+
+def test_other_columns_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "good words " * 200_000, 7, 0.5), (2, "bad words", 8, 0.1)], "doc_id long, text string, label int, score double")
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    plain = {r.doc_id: r.score for r in X.report(docs.select("doc_id", "text"), labels).collect()}
+    assert {r.doc_id: r.score for r in X.report(docs, labels).collect()} == plain and len(plain) == 2
