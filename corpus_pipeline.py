@@ -1,6 +1,12 @@
 """A training corpus from the documents table, in stages that are each written and read again.
 
 Every stage takes all that its predecessor kept; all but the last return the columns of documents.
+
+Edge cases, as in the operators: null and empty texts fail the base rule of the first stage, and so do texts below 50
+words; a null doc_id is kept like others, goes with its class of near copies, and comes first in the token blocks;
+repeated rows are one class, of which one row stays; further columns of documents, whatever their names, pass through
+all stages but the last; very long texts are worked on alone; an empty table of documents gives no rows, and an empty
+table of labels or of the benchmark lets the documents through.
 """
 
 from __future__ import annotations
