@@ -263,6 +263,7 @@ def _origins(batches) -> Iterator[pa.RecordBatch]:
                 blobs = []
     if blobs:
         yield from out(now, blobs)
+    T._give_back()
 
 
 PIECES = "fp long, doc long, rk long, pos long, bytes binary"
@@ -556,6 +557,7 @@ def _merged(batches) -> Iterator[pa.RecordBatch]:
         held = [x[cut:] for x in now]
     if held:
         yield out(*held)
+    T._give_back()
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
