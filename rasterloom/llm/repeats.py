@@ -18,7 +18,7 @@ LENGTH - slack bytes, and meet by these; the last slack is 0, where all strings
 take the same way through the index. Bit filters of bounded size keep other rows out of the shuffles; they
 never decide.
 
-Equal phrases are told by 96 bits of two hashes and 64 of their anchor.
+Equal phrases are told by 96 bits of two hashes.
 
 Edge cases: null and empty texts, and texts below LENGTH bytes, keep all bytes; an empty table gives no rows;
 rows with the same doc_id and text are one document, of which each row gets the same result; rows with the
