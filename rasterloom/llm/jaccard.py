@@ -46,6 +46,9 @@ POOL = 24
 #: Members up to which a node is a leaf; chance of two members to have an equal sample from which they are alike.
 LEAF, ALIKE = 200, 0.5
 
+#: Parts that the members of a node above LEAF are dealt to wherever they are joined by node.
+SALTS = 64
+
 #: Members and shingles of a block at most, on average.
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 20
 
@@ -123,35 +126,52 @@ def _members(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.dropDuplicates(["sid"]).drop("doc", "rep")
 
 
+def _spread(nodes: DataFrame) -> DataFrame:
+    """nodes, each once for every salt that a member can have."""
+    return nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _salt(sid: str = "sid"):
+    return F.pmod(F.xxhash64(sid, F.lit("salt")), F.lit(SALTS)).cast("int").alias("salt")
+
+
 def _leaves(sets: DataFrame) -> DataFrame:
-    """node and sid of the members of all leaves, with the number of members and of shingles of the node."""
+    """node and sid of the members of all leaves, with the number of members and of shingles of the node.
+
+    Members of large nodes are joined by node and salt, so that none of them is the work of one task; only nodes of up to
+    LEAF members are joined by node."""
     at = F.posexplode(F.slice("mins", 1, RUNS)).alias("run", "value")
     rows = sets.select("sid", "size", at).select(F.xxhash64("run", "value").alias("node"), "sid", "size")
-    leaves = None
+    leaves, salted = None, ["node", "salt"]
     for depth in range(DEPTH):
-        rows = stored(rows)
+        rows = stored(rows.select("node", "sid", "size", _salt()))
         nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.bit_xor(F.xxhash64("sid")).alias("print")).where("n > 1")
-        large = nodes.where(F.col("n") > LEAF).select("node", "n", "shingles", "print") if depth < DEPTH - 1 else None
-        if large is not None:
+        large = stored(nodes.where(F.col("n") > LEAF))
+        wide = rows.join(_spread(large), salted)
+        found = rows.join(_spread(large.select("node")), salted, "left_anti").join(nodes.where(F.col("n") <= LEAF), "node")
+        deeper = None
+        if depth < DEPTH - 1:
             pick = lambda k: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(POOL)).cast("int")
             value = lambda k: F.get("mins", F.lit(RUNS) + pick(k))
-            members = rows.join(large.select("node", "n"), "node").join(sets.select("sid", "mins"), "sid")
-            members = stored(members.select("node", "n", "sid", "size", *(F.xxhash64("node", F.lit(k), value(k)).alias(f"child{k}") for k in range(BRANCH))))
+            children = (F.xxhash64("node", F.lit(k), value(k)).alias(f"child{k}") for k in range(BRANCH))
+            members = stored(wide.join(sets.select("sid", "mins"), "sid").select("node", "salt", "n", "shingles", "print", "sid", "size", *children))
             split = members.groupBy("node", "n", "child0").agg(F.count("*").alias("m"))
             alike = stored(split.groupBy("node", "n").agg((F.sum(F.col("m") * F.col("m")) / F.first("n") / F.first("n")).alias("share")).where(F.col("share") >= ALIKE).select("node"))
-            leaf = nodes.where(F.col("n") <= LEAF).unionByName(large.join(alike, "node"))
-            children = F.explode(F.array(*(f"child{k}" for k in range(BRANCH)))).alias("node")
-            deeper = members.join(alike, "node", "left_anti").select("sid", "size", children).distinct()
-        else:
-            leaf, deeper = nodes, None
-        found = rows.select("node", "sid").join(leaf, "node")
+            wide = members.join(_spread(alike), salted, "left_semi")
+            child = F.explode(F.array(*(f"child{k}" for k in range(BRANCH)))).alias("node")
+            deeper = members.join(_spread(alike), salted, "left_anti").select("sid", "size", child).distinct()
+        columns = ["node", "sid", "n", "shingles", "print"]
+        found = found.select(columns).unionByName(wide.select(columns))
         leaves = found if leaves is None else leaves.unionByName(found)
         if deeper is None or not deeper.take(1):
             break
         rows = deeper
     leaves = stored(leaves)
-    first = leaves.groupBy("node", "n", "print").agg(F.lit(1)).groupBy("n", "print").agg(F.min("node").alias("node")).select("node")
-    return leaves.join(first, "node", "left_semi").select("node", "sid", "n", "shingles")
+    first = leaves.groupBy("node", "n", "print").agg(F.lit(1)).groupBy("n", "print").agg(F.min("node").alias("node"))
+    few, many = (F.col("n") <= LEAF), (F.col("n") > LEAF)
+    small = leaves.where(few).join(first.where(few).select("node"), "node", "left_semi")
+    big = leaves.where(many).withColumn("salt", _salt()).join(_spread(first.where(many).select("node")), salted, "left_semi")
+    return small.select("node", "sid", "n", "shingles").unionByName(big.select("node", "sid", "n", "shingles"))
 
 
 UNIT = "sid long, root long, links long, texts long"
