@@ -6,10 +6,13 @@ the domains. Document rates r >= 0 minimise
     sum over domains of (expected tokens - target)^2 / total^2
     + RIDGE * sum over documents of (tokens / total) * (r - 1)^2
 
-by projected gradient: a step needs the expected tokens of each domain only, which are one aggregation over
-all documents. A step is a few numbers a domain, and the rate follows from the posterior and the list of steps;
+by projected gradient, scaled by the second moments of the posteriors of the documents whose rate is not 0 (a matrix of
+domains by domains), so that few steps do. A step needs these and the expected tokens of each domain, which are one
+aggregation over all documents; a step that doesn't help is cut to a third, three times, and then replaced by one along
+the plain gradient. A step is a few numbers a domain, and the rate follows from the posterior and the list of steps;
 every STORED steps the rates so far are written, so that a job applies few steps. The fit ends when each domain's
-share is within TOLERANCE of its target or no step helps any more; results carry the largest gap that is left. The
+share is within TOLERANCE of its target or no step lowers the squared gaps by a share of GAIN; results carry the largest
+gap that is left. The
 rates decide how often a document is taken: its whole part, and once more if a hash of doc_id falls below the rest.
 
 Edge cases: null and empty texts have no tokens, the prior as posterior and rate 1; null or repeated labels: rows
@@ -34,7 +37,7 @@ from .session import dropped, stored
 SAMPLE_ROWS = 4_000
 
 BITS, EPOCHS, RATE = 14, 8, 0.5
-RIDGE, STEPS, TOLERANCE, STORED = 1e-5, 400, 1e-4, 8
+RIDGE, STEPS, TOLERANCE, GAIN, STORED = 1e-5, 400, 1e-4, 1e-3, 8
 _SIZE = 1 << BITS
 
 
@@ -130,9 +133,21 @@ def rates(scored: DataFrame, domains: list[str], targets: dict[str, float]) -> t
     """The steps that fit the expected share of each domain to its target, and what they reach."""
     k = len(domains)
     scored = scored.select("n_tokens", "posterior", F.lit(1.0).alias("before"))
-    sums = lambda r: [F.sum(F.col("n_tokens") * r * F.get("posterior", j)).alias(f"t{j}") for j in range(k)]
-    expected = lambda r: np.array([x or 0.0 for x in scored.agg(*sums(r)).first()], float)
-    start = expected(F.lit(1.0))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    part = lambda j: F.col("n_tokens") * F.get("posterior", j)
+    sums = [F.sum(part(j) * F.col("rate")).alias(f"t{j}") for j in range(k)]
+    sums += [F.sum(F.when(F.col("rate") > 0, part(i) * F.get("posterior", j))).alias(f"m{i}_{j}") for i, j in pairs]
+
+    def expected(r: Column) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens of each domain, and how they bend with the posteriors of the documents whose rate is not 0."""
+        row = [x or 0.0 for x in scored.select("n_tokens", "posterior", r.alias("rate")).agg(*sums).first()]
+        bend = np.zeros((k, k))
+        for (i, j), x in zip(pairs, row[k:]):
+            bend[i, j] = bend[j, i] = x
+        return np.array(row[:k], float), bend
+
+    now, curve = expected(F.lit(1.0))
+    start = now
     total = max(1.0, start.sum())
     given = np.array([targets.get(d, np.nan) for d in domains], float)
     free = np.isnan(given)
@@ -141,24 +156,25 @@ def rates(scored: DataFrame, domains: list[str], targets: dict[str, float]) -> t
     goal = shares / max(1e-12, shares.sum())
     steps: list[np.ndarray] = []
     written = 0
-    now, size = start, 0.5
     error = lambda x: float(((x / total - goal) ** 2).sum())
-    while len(steps) < STEPS and np.abs(now / total - goal).max() > TOLERANCE:
+    while len(steps) < STEPS and start.sum() > 0 and np.abs(now / total - goal).max() > TOLERANCE:
         gap = now / total - goal
-        step = np.append(size * gap, size * RIDGE)
-        then = expected(rate([*steps[written:], step], F.col("before")))
-        if error(then) < error(now):
-            steps.append(step)
-            now, size = then, size * 1.6
-            if len(steps) - written >= STORED:
-                later = stored(scored.withColumn("before", rate(steps[written:], F.col("before"))))
-                if written:
-                    dropped(scored.sparkSession, scored)
-                scored, written = later, len(steps)
-        elif size < 1e-6:
-            break
+        scaled = np.linalg.solve(curve / total + RIDGE * np.eye(k), gap)
+        # the plain gradient comes last: shares and posteriors are at most 1, so a whole step of it cannot overshoot
+        for size, move in [(3.0**-j, scaled) for j in range(4)] + [(1.0, gap)]:
+            step = np.append(size * move, size * RIDGE)
+            then, bend = expected(rate([*steps[written:], step], F.col("before")))
+            if error(then) < (1 - GAIN) * error(now):
+                break
         else:
-            size /= 3
+            break
+        steps.append(step)
+        now, curve = then, bend
+        if len(steps) - written >= STORED:
+            later = stored(scored.withColumn("before", rate(steps[written:], F.col("before"))))
+            if written:
+                dropped(scored.sparkSession, scored)
+            scored, written = later, len(steps)
     if written:
         dropped(scored.sparkSession, scored)
     return steps, {"domains": domains, "targets": goal.tolist(), "before": (start / total).tolist(), "reached": (now / total).tolist(), "gap": float(np.abs(now / total - goal).max())}

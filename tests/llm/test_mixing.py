@@ -68,3 +68,20 @@ def test_repeated_rows_in_other_fits(spark):
     assert quality.rules_of(docs, labels, 100) == quality.rules_of(many, labels, 100) != []
     for x, y in zip(toxicity.model(docs, labels, 100), toxicity.model(many, labels, 100)):
         assert np.array_equal(x, y)
+
+
+def test_rare_domain_and_targets_out_of_reach(spark):
+    """A domain with few tokens reaches its target in few steps; where no rates do, the fit ends and says what is left."""
+    rare = spark.range(400).select(F.lit(100).cast("long").alias("n_tokens"), F.when(F.col("id") < 2, F.expr("array(0.1D, 0.9D)")).otherwise(F.expr("array(0.999D, 0.001D)")).alias("posterior"))
+    steps, reached = M.rates(rare, ["A", "B"], {"A": 0.8, "B": 0.2})
+    assert len(steps) <= 3 and reached["gap"] <= M.TOLERANCE
+    never = rare.withColumn("posterior", F.expr("array(0.6D, 0.4D)"))
+    steps, reached = M.rates(never, ["A", "B"], {"A": 0.2, "B": 0.8})
+    # with shares 0.6 x and 0.4 x of the total, the squared gaps are least at x = 0.44 / 0.52
+    assert len(steps) <= 20 and np.abs(np.array(reached["reached"]) - np.array([0.6, 0.4]) * 0.44 / 0.52).max() < 0.02
+    # rates of 0 take part
+    mixed = spark.range(300).select(F.lit(10).cast("long").alias("n_tokens"), F.when(F.col("id") < 100, F.expr("array(1D, 0D, 0D)")).when(F.col("id") < 200, F.expr("array(0D, 0.5D, 0.5D)")).otherwise(F.expr("array(0D, 0D, 1D)")).alias("posterior"))
+    steps, reached = M.rates(mixed, ["A", "B", "C"], {"A": 0.5, "B": 0.5, "C": 0.0})
+    r = [x.r for x in mixed.select(M.rate(steps).alias("r")).collect()]
+    # least squares: B's rows at x with (0.5 x - 0.5, 0.5 x), so x = 0.5 of all tokens, rows of C alone at 0
+    assert min(r) == 0 and np.abs(np.array(reached["reached"]) - [0.5, 0.25, 0.25]).max() < 0.02
