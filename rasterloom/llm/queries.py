@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, language_model, licenses, mixing, quality, repeats, tokens, toxicity
+from . import chat, decontaminate, jaccard, language_model, licenses, mixing, quality, ranking, repeats, tokens, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,12 +67,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard_join, op3_pitman_yor, op4_repeats, op5_token_blocks, op6_license_scan, op7_chat_format, op8_mixing, op9_quality_rules, op10_toxicity)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard_join, op3_pitman_yor, op4_repeats, op5_token_blocks, op6_license_scan, op7_chat_format, op8_mixing, op9_quality_rules, op10_toxicity, op11_ranked_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": LEAKS_SQL, "op6_license_scan": licenses_sql(), "op7_chat_format": CHAT_SQL}
+    return {"op1_decontaminate": LEAKS_SQL, "op6_license_scan": licenses_sql(), "op7_chat_format": CHAT_SQL, "op11_ranked_search": RANKS_SQL}
 
 
 LEAKS_SQL = r"""
@@ -94,6 +98,28 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM dw LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
+RANKS_SQL = r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), live AS (SELECT r, doc_id, ws, len(ws) AS n FROM dw WHERE len(ws) > 0),
+corpus AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM live),
+iw AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), counts AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ws) AS term FROM live) WHERE term IN (SELECT term FROM iw) GROUP BY r, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counts, corpus GROUP BY term
+), gains AS (
+  SELECT c.r, c.term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * big_n) // big_l))) AS gain
+  FROM counts c JOIN weights USING (term) JOIN live USING (r), corpus
+), scores AS (
+  SELECT i.item_id, r, CAST(sum(gain) AS BIGINT) AS score FROM iw i JOIN gains g USING (term) GROUP BY i.item_id, r HAVING sum(gain) > 0
+)
+SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score FROM scores JOIN live USING (r)
+WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)
+QUALIFY row_number() OVER best <= 10
+"""
+
 CHAT_SQL = r"""
 WITH rows AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
