@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, langid, language_model, licenses, mixing, quality, ranking, repeats, tokens, toxicity
+from . import chat, decontaminate, jaccard, langid, language_model, licenses, mixing, quality, ranking, repeats, tokens, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,8 +75,12 @@ def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.report(_table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard_join, op3_pitman_yor, op4_repeats, op5_token_blocks, op6_license_scan, op7_chat_format, op8_mixing, op9_quality_rules, op10_toxicity, op11_ranked_search, op12_language_id)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard_join, op3_pitman_yor, op4_repeats, op5_token_blocks, op6_license_scan, op7_chat_format, op8_mixing, op9_quality_rules, op10_toxicity, op11_ranked_search, op12_language_id, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
