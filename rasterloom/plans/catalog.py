@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import channels, documents, editing, exports, geometry, raster
+from . import brushes, channels, documents, editing, exports, geometry, raster
 
-MODULES = (raster, channels, documents, geometry, exports, editing)
+MODULES = (raster, channels, documents, geometry, exports, editing, brushes)
 
 
 def queries() -> dict:
