@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import brushes, channels, documents, editing, exports, geometry, raster
+from . import brushes, channels, documents, editing, exports, geometry, images, raster
 
-MODULES = (raster, channels, documents, geometry, exports, editing, brushes)
+MODULES = (raster, channels, documents, geometry, exports, editing, brushes, images)
 
 
 def queries() -> dict:
