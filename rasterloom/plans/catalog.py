@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import brushes, channels, documents, editing, exports, geometry, images, raster
+from . import brushes, channels, documents, editing, exports, geometry, images, imports, raster
 
-MODULES = (raster, channels, documents, geometry, exports, editing, brushes, images)
+MODULES = (raster, channels, documents, geometry, exports, editing, brushes, images, imports)
 
 
 def queries() -> dict:

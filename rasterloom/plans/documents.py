@@ -164,9 +164,9 @@ def f83_waypoint_keys(spark, sf_dir):
     return _documents(spark, sf_dir).select("o_orderkey", F.explode(F.transform(F.col("doc.waypoints"), D.waypoint)).alias("w")).select("o_orderkey", "w.*")
 
 
-@query("SELECT o_orderkey, 's' || o_orderkey AS id, 'arrow' AS type, CAST(o_orderkey % 3 AS DOUBLE) AS x, CAST(o_orderkey % 2 AS DOUBLE) AS y, round(atan2(CAST(-(o_orderkey % 2) AS DOUBLE), CAST(-(o_orderkey % 3) AS DOUBLE)), 9) AS angle, 'a' AS label FROM orders WHERE o_orderkey % 6 <> 0")
+@query("SELECT o_orderkey, 's' || o_orderkey AS id, 'arrow' AS type, CAST(o_orderkey % 3 AS DOUBLE) AS x, CAST(o_orderkey % 2 AS DOUBLE) AS y, CASE WHEN o_orderkey % 6 = 0 THEN 0.0 ELSE round(atan2(CAST(-(o_orderkey % 2) AS DOUBLE), CAST(-(o_orderkey % 3) AS DOUBLE)), 9) END AS angle, 'a' AS label FROM orders")
 def f84_shape_keys(spark, sf_dir):
-    s = _documents(spark, sf_dir).where("o_orderkey % 6 <> 0").select("o_orderkey", F.explode(F.transform(F.col("doc.shapes"), D.shape)).alias("s"))
+    s = _documents(spark, sf_dir).select("o_orderkey", F.explode(F.transform(F.col("doc.shapes"), D.shape)).alias("s"))
     return s.select("o_orderkey", "s.id", "s.type", F.col("s.point.x").alias("x"), F.col("s.point.y").alias("y"), F.round("s.angle", 9).alias("angle"), "s.label")
 
 

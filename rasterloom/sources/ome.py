@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rois import shapes
+
 
 def is_ome(description: Column) -> Column:
     """Whether an image description looks like OME-XML."""
@@ -26,15 +28,7 @@ def pixels(rows: DataFrame, xml: str) -> DataFrame:
 
 
 def rois(rows: DataFrame, key: str, xml: str) -> DataFrame:
-    """key, pos, kind, x, y, width and height of the rectangles and points of a description; sizes must be positive."""
-    bare = F.regexp_replace(F.col(xml), r'\sxmlns(:\w+)?="[^"]*"', "")
-    every = None
-    for kind, names in (("rectangle", ("X", "Y", "Width", "Height")), ("point", ("X", "Y"))):
-        tag = kind.capitalize()
-        columns = [F.xpath(bare, F.lit(f"//{tag}/@{a}")) for a in names]
-        z = rows.select(F.col(key), F.posexplode(F.arrays_zip(*(c.alias(a) for c, a in zip(columns, names)))).alias("pos", "s"))
-        get = lambda a: F.col(f"s.{a}").try_cast("double") if a in names else F.lit(None).cast("double")  # noqa: B023, E731
-        one = z.select(key, F.lit(kind).alias("kind"), "pos", *(get(a).alias(a.lower()) for a in ("X", "Y", "Width", "Height")))
-        one = one.where("width > 0 AND height > 0") if kind == "rectangle" else one
-        every = one if every is None else every.unionByName(one)
-    return every
+    """key, pos (among those of a kind), kind, x, y, width and height of the valid rectangles and points of a description."""
+    found = shapes(rows, key, xml).where("shape.type in ('rectangle', 'point')")
+    order = F.row_number().over(Window.partitionBy(key, "shape.type").orderBy("roi", "pos")) - 1
+    return found.select(key, F.col("shape.type").alias("kind"), order.alias("pos"), "shape.x", "shape.y", "shape.width", "shape.height")
