@@ -24,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -308,7 +308,10 @@ BLOCKS = "part int, seq long, before long, doc_ids array<long>, n_tokens array<l
 
 
 def write(docs: DataFrame, path: str, tokenizer: str) -> np.ndarray:
-    """Writes the blocks of all documents to the folder ``path`` and returns the code lengths that they need."""
+    """Writes all documents to the folder ``path`` and returns the code lengths.
+
+    The folder needs nothing else to be read: blocks holds the coded ids, code the length of each id's code, from which
+    a canonical code follows, parts how many ids lie before each part of the blocks, and about the tokenizer's name."""
     spark = docs.sparkSession
     dtype = encoder(tokenizer).dtype
     ids = stored(tokenized(docs, tokenizer), compression="zstd")
@@ -330,8 +333,14 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> np.ndarray:
             )
 
     ordered = ids.mapInArrow(coded, "doc_id long, n_tokens long, tie long, lanes array<long>, bits binary").repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    ordered.mapInArrow(_blocks, BLOCKS).write.parquet(path)
+    ordered.mapInArrow(_blocks, BLOCKS).write.parquet(f"{path}/blocks")
     dropped(spark, ids)
+    sizes = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("part").agg(F.sum(F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)")).alias("n"))
+    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")  # a row for each part
+    sizes.select("part", before.alias("before")).coalesce(1).write.parquet(f"{path}/parts")
+    at = np.flatnonzero(lengths)
+    spark.createDataFrame(pa.table({"id": pa.array(at, pa.int64()), "length": pa.array(lengths[at], pa.int32())})).coalesce(1).write.parquet(f"{path}/code")
+    spark.createDataFrame([(tokenizer.rsplit("/", 1)[-1], len(lengths))], "tokenizer string, ids long").coalesce(1).write.parquet(f"{path}/about")
     return lengths
 
 
@@ -359,11 +368,13 @@ def _blocks(batches) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def read(spark, path: str, lengths: np.ndarray) -> DataFrame:
+def read(spark, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids (little-endian, 4 bytes) of all documents of a written folder."""
-    blocks = spark.read.schema(BLOCKS).parquet(path)
-    sizes = blocks.groupBy("part").agg(F.sum(F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)")).alias("n")).orderBy("part").toPandas()
-    base = dict(zip(sizes.part.tolist(), (sizes.n.cumsum() - sizes.n).tolist()))  # one number a partition
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    base = {r["part"]: r["before"] for r in spark.read.schema("part int, before long").parquet(f"{path}/parts").toLocalIterator()}  # one number a part
+    lengths = np.zeros(spark.read.schema("tokenizer string, ids long").parquet(f"{path}/about").first()["ids"], np.int64)
+    for r in spark.read.schema("id long, length int").parquet(f"{path}/code").toLocalIterator():  # a number for each id
+        lengths[r["id"]] = r["length"]
     shared = spark.sparkContext.broadcast((lengths, base))
 
     def run(batches):
@@ -389,9 +400,9 @@ def read(spark, path: str, lengths: np.ndarray) -> DataFrame:
     return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
-def report(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Writes all documents, reads the blocks back and returns where each document lies and its checksum."""
-    path = shared_dir(docs.sparkSession)
-    lengths = write(docs, path, tokenizer)
-    back = read(docs.sparkSession, path, lengths)
+def report(docs: DataFrame, tokenizer: str, path: str | None = None) -> DataFrame:
+    """Writes all documents, reads the folder back and returns where each document lies and its checksum."""
+    path = path or shared_dir(docs.sparkSession)
+    write(docs, path, tokenizer)
+    back = read(docs.sparkSession, path)
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

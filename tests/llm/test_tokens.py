@@ -74,3 +74,15 @@ def test_rows(spark):
 def test_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     check(df, [(r.doc_id, r.text) for r in df.collect()])
+
+
+def test_folder_is_read_without_anything_else(spark, tmp_path):
+    rows = [*enumerate(HARD), (None, "null id")]
+    K.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), f"{tmp_path}/out", PATH)
+    back = K.read(spark.newSession(), f"{tmp_path}/out").collect()
+    want = dict(zip([d for d, _ in rows], plain([t for _, t in rows])))
+    assert {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in back} == want
+    ends = sorted((r.start, r.start + r.n_tokens) for r in back)
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+    assert spark.read.parquet(f"{tmp_path}/out/about").first()["tokenizer"] == "byte_bpe_50k.json"
+    assert sorted(os.listdir(f"{tmp_path}/out")) == ["about", "blocks", "code", "parts"]
