@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .names import set_aside
 from .session import stored
 
 #: Words of a window.
@@ -244,9 +245,9 @@ def _matched(batches, q: Probes, kept: list[str]) -> Iterator[pa.RecordBatch]:
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs in which no window of the benchmark occurs; all columns stay."""
-    clash = {c: f"__own_{c}" for c in docs.columns if c in ("n_words", "hits", "longest", "longest_item")}
-    out = matches(docs.withColumnsRenamed(clash), benchmark, window).where(F.size("hits") == 0)
-    return out.drop("n_words", "hits", "longest", "longest_item").withColumnsRenamed({v: k for k, v in clash.items()}).select(docs.columns)
+    added = ("n_words", "hits", "longest", "longest_item")
+    own, moved = set_aside(docs, added)
+    return matches(own, benchmark, window).where(F.size("hits") == 0).drop(*added).withColumnsRenamed(moved)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .filters import bitmap, passes
+from .names import set_aside
 from .session import stored
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -330,8 +331,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """One row of docs for each class: that of its smallest doc_id, or of its smallest hash of a text where all are null; all
     columns stay. Rows are told apart by doc_id and text, so other texts of a doc_id are kept or go with their own classes;
     rows without words stay, repeated ones once."""
+    docs, moved = set_aside(docs, ("__doc", "__none", "__row"))
     keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("__doc"), F.col("doc_id").cast("long").isNull().alias("__none")]
     first = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("row") == F.col("head.row"))
     gone = stored(_linked(docs).where(F.col("head").isNotNull() & ~first).select(*keys, F.col("row").alias("__row")).distinct())
     out = docs.select("*", *keys, F.xxhash64("text").alias("__row")).join(gone, ["__doc", "__none", "__row"], "left_anti")
-    return out.dropDuplicates(["__doc", "__none", "__row"]).select(docs.columns)
+    return out.dropDuplicates(["__doc", "__none", "__row"]).select(docs.columns).withColumnsRenamed(moved)

@@ -1,7 +1,10 @@
 """Mixing sources to target weights by soft membership.
 
 A softmax classifier learned from a bounded sample of labelled rows gives each document a posterior over
-the domains. Document rates r >= 0 minimise
+the domains. Its features are the words that a text has and their beginnings, hashed, and the manner of the text: how
+long it and its words are, how much repeats, how many signs it has, each by the bin it falls in. It is learned online
+by FTRL-proximal, whose L1 term drops what few rows speak for, so that it doesn't remember rows. Document rates r >= 0
+minimise
 
     sum over domains of (expected tokens - target)^2 / total^2
     + RIDGE * sum over documents of (tokens / total) * (r - 1)^2
@@ -29,67 +32,91 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import quality
 from . import text as T
+from .names import set_aside
 from .samples import texts_of
 from .session import dropped, stored
 
 #: Labelled rows that the classifier is learned from: those with the lowest hash of doc_id; equal rows are one.
 SAMPLE_ROWS = 4_000
 
-BITS, EPOCHS, RATE = 14, 8, 0.5
+#: Bits of a hashed word; bytes of the beginnings of words; bins of each number that tells of the manner of a text.
+BITS, BEGINNINGS, BINS = 18, (5, 6, 7, 8), 128
+
+ALPHA, BETA, L1, L1_MANNER, L2, PASSES = 0.1, 1.0, 4.0, 0.05, 0.1, 2
 RIDGE, STEPS, TOLERANCE, GAIN, STORED = 1e-5, 400, 1e-4, 1e-3, 8
-_SIZE = 1 << BITS
+_WORDS = 1 << BITS
+_SIZE = _WORDS + BINS * len(quality.FEATURES) + 1
+
 
+def features(col, useful: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the features that texts have, sorted by text; the text of each; and the words of each text.
 
-def features(col) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed words of all texts, the text of each, and the words of each text."""
+    useful: which hashed words matter. The last feature is the bias; a text without words has no other."""
     buf, off = T.buffer(col)
     starts, ends = T.words(buf, T.ALNUM)
     n = np.diff(T.per_text(starts, off))
-    h = T.hashes(buf, starts, ends, fold=True)
-    return (h >> T.U64(64 - BITS)).astype(np.int64), np.repeat(np.arange(len(n)), n), n
+    owner = np.repeat(np.arange(len(n)), n)
+    keys = []
+    for k in (0, *BEGINNINGS):
+        own = np.flatnonzero(ends - starts > k) if k else slice(None)
+        h = T.hashes(buf, starts[own], starts[own] + k if k else ends, fold=True)
+        f = (T.mix(h + T.U64(k)) >> T.U64(64 - BITS)).astype(np.int64)
+        of = owner[own]
+        if useful is not None:
+            some = useful[f]
+            f, of = f[some], of[some]
+        keys.append(of << 32 | f)
+    key = np.concatenate(keys).astype(T.U64)
+    live = np.flatnonzero(n)
+    c = quality.counts(col)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        x = np.stack([np.nan_to_num(f(lambda k: c[k][live].astype(float)), posinf=0.0) for f in quality.FEATURES.values()], axis=1)
+    places = np.minimum(BINS - 1, (4 * np.log2(1 + 1000 * x)).astype(np.int64)) + _WORDS + BINS * np.arange(x.shape[1])
+    manner = np.repeat(live, x.shape[1]) << 32 | places.ravel()
+    bias = np.arange(len(n)) << 32 | (_SIZE - 1)
+    every = T.distinct(np.concatenate([key, manner.astype(T.U64), bias.astype(T.U64)]))[0]
+    return (every & T.U64(0xFFFFFFFF)).astype(np.int64), (every >> T.U64(32)).astype(np.int64), n
 
 
 def _bags(batches):
     for b in T.slices(batches):
         f, of, n = features(b.column("text"))
-        key, _, count, _ = T.distinct((of.astype(T.U64) << T.U64(32)) | f.astype(T.U64))
-        cut = np.searchsorted(key >> T.U64(32), np.arange(len(n) + 1).astype(T.U64))
-        f = (key & T.U64(0xFFFFFFFF)).astype(np.uint32)
-        c = count.astype(np.float32)
-        parts = list(zip(cut.tolist(), cut[1:].tolist()))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), b.column("label"), pa.array([f[x:y].tobytes() for x, y in parts], pa.binary()), pa.array([c[x:y].tobytes() for x, y in parts], pa.binary())], ["doc_id", "row", "label", "features", "counts"])
+        cut = np.searchsorted(of, np.arange(len(n) + 1)).tolist()
+        f = f.astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), b.column("label"), pa.array([f[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())], ["doc_id", "row", "label", "features"])
 
 
 def classifier(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
-    """Domains in order and the weights of a softmax over shares of words and a bias, by gradient steps over the sample.
+    """Domains in order and the weights of a softmax over features, learned online over the sample.
 
     labelled: doc_id and label."""
     marked = labelled.where("label is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("string").alias("label"))
     marked = marked.distinct().orderBy(F.xxhash64("doc_id", "label"), "doc_id", "label").limit(sample_rows)
-    bags = texts_of(docs, marked, "label", sample_rows).mapInArrow(_bags, "doc_id long, row long, label string, features binary, counts binary")
-    sample = stored(bags.groupBy("doc_id", "row", "label").agg(F.first("features").alias("features"), F.first("counts").alias("counts")).repartition(8))
+    bags = texts_of(docs, marked, "label", sample_rows).mapInArrow(_bags, "doc_id long, row long, label string, features binary")
+    sample = stored(bags.groupBy("doc_id", "row", "label").agg(F.first("features").alias("features")).repartition(8))
     domains = sorted(r["label"] for r in sample.select("label").distinct().collect())
     if not domains:
-        return [""], np.zeros((1, _SIZE + 1))
-    rows = []
-    for r in sample.orderBy(F.xxhash64("features", "label")).toLocalIterator():
-        f = np.frombuffer(bytes(r["features"]), np.uint32).astype(np.int64)
-        c = np.frombuffer(bytes(r["counts"]), np.float32)
-        rows.append((domains.index(r["label"]), np.append(f, _SIZE), np.append(_scaled(c), 1.0)))
-    w, g2 = np.zeros((len(domains), _SIZE + 1)), np.full((len(domains), _SIZE + 1), 1e-2)
-    for _ in range(EPOCHS):
-        for y, f, x in rows:
-            p = _softmax(w[:, f] @ x)
-            p[y] -= 1
-            g = p[:, None] * x[None, :]
-            g2[:, f] += g * g
-            w[:, f] -= RATE * g / np.sqrt(g2[:, f])
-    return domains, w
-
-
-def _scaled(c: np.ndarray) -> np.ndarray:
-    return np.sqrt(c / c.sum()) if len(c) else c
+        return [""], np.zeros((1, _SIZE))
+    z, n, l1 = np.zeros((len(domains), _SIZE)), np.zeros((len(domains), _SIZE)), np.full(_SIZE, L1)
+    l1[_WORDS:] = L1_MANNER
+    for _ in range(PASSES):
+        for r in sample.orderBy(F.xxhash64("features", "label"), "label").toLocalIterator():
+            f = np.frombuffer(bytes(r["features"]), np.uint32).astype(np.int64)
+            w = _weights(z[:, f], n[:, f], l1[f])
+            g = _softmax(w.sum(axis=1))
+            g[domains.index(r["label"])] -= 1
+            g = g[:, None]
+            z[:, f] += g - (np.sqrt(n[:, f] + g * g) - np.sqrt(n[:, f])) / ALPHA * w
+            n[:, f] += g * g
+    dropped(docs.sparkSession, sample)
+    return domains, _weights(z, n, l1)
+
+
+def _weights(z: np.ndarray, n: np.ndarray, l1: np.ndarray) -> np.ndarray:
+    """The weights that the sums z and n stand for; zero where L1 holds them."""
+    return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -99,19 +126,16 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def posteriors(docs: DataFrame, fitted: tuple[list[str], np.ndarray]) -> DataFrame:
     """docs with n_tokens (words) and posterior, an array in the order of the domains, as the last columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted[1])
+    shared = docs.sparkSession.sparkContext.broadcast(fitted[1].astype(np.float32))
     domains = len(fitted[0])
     schema = docs.select("*", F.lit(0).cast("long").alias("n_tokens"), F.expr("cast(array() as array<double>)").alias("posterior")).schema
 
     def run(batches):
         w = shared.value
+        useful = (w[:, :_WORDS] != 0).any(axis=0)
         for b in T.slices(batches):
-            f, of, n = features(b.column("text"))
-            key, _, count, _ = T.distinct((of.astype(T.U64) << T.U64(32)) | f.astype(T.U64))
-            doc, f = (key >> T.U64(32)).astype(np.int64), (key & T.U64(0xFFFFFFFF)).astype(np.int64)
-            x = np.sqrt(count / n[doc])
-            z = np.stack([np.bincount(doc, weights=w[k, f] * x, minlength=len(n)) + w[k, -1] for k in range(domains)])
-            p = _softmax(z).T
+            f, of, n = features(b.column("text"), useful)
+            p = _softmax(np.stack([np.bincount(of, weights=w[k, f], minlength=len(n)) for k in range(domains)])).T
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * domains, pa.int32()), pa.array(p.ravel(), pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), lists], [*b.schema.names, "n_tokens", "posterior"])
 
@@ -210,7 +234,7 @@ def taken(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Da
     scored = stored(posteriors(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fitted).drop("text"))
     steps, _ = rates(scored, fitted[0], targets)
     dropped(docs.sparkSession, scored)
-    clash = {c: f"__own_{c}" for c in docs.columns if c.lower() in ("n_tokens", "posterior", "rate", "copies", "__copy")}
-    out = _copied(posteriors(docs.withColumnsRenamed(clash), fitted), steps, "doc_id")
-    out = out.withColumn("__copy", F.explode(F.expr("array_repeat(1, copies)"))).drop("n_tokens", "posterior", "rate", "copies", "__copy")
-    return out.withColumnsRenamed({v: k for k, v in clash.items()})
+    added = ("n_tokens", "posterior", "rate", "copies", "__copy")
+    own, moved = set_aside(docs, added)
+    out = _copied(posteriors(own, fitted), steps, "doc_id")
+    return out.withColumn("__copy", F.explode(F.expr("array_repeat(1, copies)"))).drop(*added).withColumnsRenamed(moved)

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .names import set_aside
 from .samples import texts_of
 
 #: Labelled rows that the list is learned from: those with the lowest hash of doc_id.
@@ -261,6 +262,5 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that neither the base rule nor the list rejects; all columns stay."""
     rules = rules_of(docs, labels)
     at = lambda k: F.col(f"__counts.{k}")
-    clash = {c: f"__own_{c}" for c in docs.columns if c.lower() == "__counts"}
-    out = counted(docs.withColumnsRenamed(clash)).where(~base_failed(at) & ~expression(rules, at)).drop("__counts")
-    return out.withColumnsRenamed({v: k for k, v in clash.items()})
+    own, moved = set_aside(docs, ("__counts",))
+    return counted(own).where(~base_failed(at) & ~expression(rules, at)).drop("__counts").withColumnsRenamed(moved)

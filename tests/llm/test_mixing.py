@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rasterloom.llm import mixing as M
-from rasterloom.llm import quality, toxicity
+from rasterloom.llm import quality, queries, toxicity
 from rasterloom.llm.samples import texts_of
 
 TARGETS = {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}
@@ -85,3 +85,26 @@ def test_rare_domain_and_targets_out_of_reach(spark):
     r = [x.r for x in mixed.select(M.rate(steps).alias("r")).collect()]
     # least squares: B's rows at x with (0.5 x - 0.5, 0.5 x), so x = 0.5 of all tokens, rows of C alone at 0
     assert min(r) == 0 and np.abs(np.array(reached["reached"]) - [0.5, 0.25, 0.25]).max() < 0.02
+
+
+def test_held_out_domains(spark):
+    """Of the query's own domains, learned from four fifths of the labelled rows: recognised, and their true shares in the mixture."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    labelled = queries.labelled_domains(docs, labels).toPandas()
+    held = labelled.doc_id % 5 == 0
+    domains, w = M.classifier(docs, spark.createDataFrame(labelled[~held]))
+    truth = spark.createDataFrame(labelled[held])
+    scored = M.posteriors(docs.join(truth, "doc_id").select("doc_id", "label", "text"), (domains, w)).drop("text").cache()
+    rows = scored.toPandas()
+    p = np.stack(rows.posterior)
+    top = np.array(domains)[p.argmax(axis=1)]
+    caught = {d: float((top[rows.label == d] == d).mean()) for d in domains}
+    print(caught)
+    assert caught["good"] > 0.98 and caught["plain"] > 0.8 and caught["toxic"] > 0.65
+    steps, reached = M.rates(scored, domains, queries.TARGETS)
+    rate = scored.select("doc_id", M.rate(steps).alias("rate")).toPandas().set_index("doc_id").rate[rows.doc_id].to_numpy()
+    weight = rate * rows.n_tokens.to_numpy()
+    shares = {d: weight[rows.label == d].sum() / weight.sum() for d in domains}
+    print(shares)
+    assert reached["gap"] < 1e-3 and all(abs(shares[d] - queries.TARGETS[d]) < 0.05 for d in domains)

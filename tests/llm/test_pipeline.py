@@ -56,3 +56,37 @@ def test_stages(spark):
         start += len(ids)
     assert final == want and len(final) > 20
     assert sorted(map(tuple, P.run(spark, SF).collect())) == final
+
+
+CLASHES = ["Hits", "N_Words", "longest", "__doc", "__ROW", "__none", "__counts", "__own___counts", "Posterior", "copies", "set_aside_0"]
+
+
+def crafted(spark, path, docs, labels, items):
+    spark.createDataFrame(docs, "doc_id long, text string, " + ", ".join(f"{c} int" for c in CLASHES)).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return str(path)
+
+
+def test_clashing_names_nulls_empty_and_repeated_rows(spark, tmp_path):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    leaked = " ".join(f"secret{i}" for i in range(12))
+    docs = [(i, text(i)) for i in range(12)] + [(20, None), (21, ""), (22, "too short"), (3, text(3)), (None, text(40)), (23, text(2)), (24, text(50) + " " + leaked)]
+    sf = crafted(spark, tmp_path, [(d, t, *range(len(CLASHES))) for d, t in docs], [(i, 1, 0) for i in range(12)] + [(3, None, None), (99, 0, 1)], [(1, leaked), (2, None)])
+    now = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = now.columns
+    for name, stage in P.STAGES[:-1]:
+        now = stage(spark, now, sf)
+        assert now.columns == columns, name
+        assert {tuple(r)[2:] for r in now.collect()} == {tuple(range(len(CLASHES)))}, name
+    want = set(range(12)) | {None}
+    assert {r.doc_id for r in now.collect()} == want
+    got = P.run(spark, sf).collect()
+    assert {r.doc_id for r in got} == want and len(got) == now.count()
+
+
+def test_empty_tables(spark, tmp_path):
+    text = " ".join(f"word{i}" for i in range(60))
+    row = [(1, text, *range(len(CLASHES)))]
+    assert [r.doc_id for r in P.run(spark, crafted(spark, tmp_path / "a", row, [], [])).collect()] == [1]
+    assert P.run(spark, crafted(spark, tmp_path / "b", [], [(1, 1, 0)], [(1, text)])).count() == 0
