@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import brushes, channels, documents, editing, exports, geometry, images, imports, raster
+from . import brushes, channels, documents, editing, exports, geometry, images, imports, lifecycle, raster
 
-MODULES = (raster, channels, documents, geometry, exports, editing, brushes, images, imports)
+MODULES = (raster, channels, documents, geometry, exports, editing, brushes, images, imports, lifecycle)
 
 
 def queries() -> dict:
