@@ -99,7 +99,7 @@ def m04_m05_sizes(spark, sf_dir):
 
 def _replaced(spark, sf_dir):
     """Every fourth order is replaced by one whose lines have other indices; a third of those lack a line; some don't exist."""
-    o, lines = table(spark, sf_dir, "orders"), _lines(spark, sf_dir)
+    o, lines = table(spark, sf_dir, "orders"), _lines(spark, sf_dir).groupBy("image", "index").agg(*(F.max(c).alias(c) for c in ("name", "part", "lower")))
     images = o.select(F.col("o_orderkey").alias("image"), F.col("o_custkey").alias("pos"), F.when(F.col("o_orderkey") % 8 == 0, "mask").alias("role"), F.col("o_orderstatus").alias("basename"))
     channels = lines.select("image", (F.col("image") * 10 + F.col("index")).alias("id"), "index", "name", F.when(F.col("part") % 2 == 0, "mask").alias("kind"), F.when(F.col("part") % 3 == 0, F.col("lower")).alias("lower"))
     old = o.where("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("old"), (F.col("o_orderkey") + 100_000_000).alias("image"))
@@ -110,7 +110,7 @@ def _replaced(spark, sf_dir):
     return M.replaced(images, channels, swaps, fresh, new)
 
 
-_SWAPS = """old_lines AS (SELECT l_orderkey AS image, l_orderkey * 10 + l_linenumber AS id, l_linenumber AS index, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_returnflag END AS name, CASE WHEN l_partkey % 2 = 0 THEN 'mask' END AS kind, CASE WHEN l_partkey % 3 = 0 THEN l_quantity END AS lower, l_quantity FROM lineitem),
+_SWAPS = """old_lines AS (SELECT l_orderkey AS image, l_orderkey * 10 + l_linenumber AS id, l_linenumber AS index, CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_returnflag END AS name, CASE WHEN l_partkey % 2 = 0 THEN 'mask' END AS kind, CASE WHEN l_partkey % 3 = 0 THEN l_quantity END AS lower, l_quantity FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag, max(l_partkey) AS l_partkey, max(l_quantity) AS l_quantity FROM lineitem GROUP BY ALL)),
   counts AS (SELECT o_orderkey AS old, (SELECT count(*) FROM old_lines WHERE image = o_orderkey) AS expected, (SELECT count(*) FROM old_lines WHERE image = o_orderkey AND NOT (image % 12 = 0 AND index = 1)) AS got FROM orders WHERE o_orderkey % 4 = 0),
   good AS (SELECT old FROM counts WHERE expected = got)"""
 
