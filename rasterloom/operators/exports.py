@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rasterloom.sources.written import written
+
 
 def tile_jobs(images: DataFrame, folders: DataFrame, tile: int, levels: int) -> DataFrame:
     """image, folder, level, x and y of every tile to write, each folder once; level 0 is the finest.
@@ -76,16 +79,47 @@ def mask_label(name: Column) -> Column:
 def unique_names(rows: DataFrame, group: str, order: list[str], stem: str, first: str = "{}.ome.tif", later: str = "{}_{}.ome.tif", fold: bool = True) -> DataFrame:
     """name: the stem in a form that no earlier row of its group has; greedy in order.
 
-    Rows of a group come sorted and stream through; what is kept of a group is the set of its names, and of each stem
-    the last number given: smaller ones stay taken."""
+    The n-th row of a stem gets its n-th form, and forms of two stems can only be equal if the stems are once the
+    numbers that later forms end in are taken off. So rows are numbered by group and stem, in blocks of a sorted table,
+    and what is left to settle one after the other are the roots of which a group has more than one stem."""
+    columns = rows.columns
+    key = F.lower(stem) if fold else F.col(stem)
+    tail = re.escape(later.removesuffix(first.removeprefix("{}"))).replace(re.escape("{}"), "{}").removeprefix("{}").format(r"\d+")
+    keyed = rows.withColumns({"key_": key, "root_": F.regexp_replace(key, f"({tail})+$", "")})
+    sorts = keyed.select(group, "key_", "root_").distinct().groupBy(group, "root_").agg((F.count("*") > 1).alias("mixed_"))
+    known = keyed.join(sorts, [group, "root_"], "left")
+    clear = numbered(known.where("mixed_ is null or not mixed_"), [group, "key_"], order)
+    parts = later.split("{}")
+    name = F.when(F.col("n_") == 1, F.concat(F.lit(first.split("{}")[0]), F.col(stem), F.lit(first.split("{}")[1]))).otherwise(F.concat(F.lit(parts[0]), F.col(stem), F.lit(parts[1]), F.col("n_").cast("string"), F.lit(parts[2])))
+    settled = clear.withColumn("name", name).select(*columns, "name")
+    return settled.unionByName(_greedy(known.where("mixed_").select(*columns, "root_"), group, order, stem, first, later, fold).select(*columns, "name"))
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """rows with n_, their number from 1 among those with the same by, in order.
+
+    The table is sorted into ranges, which split a frequent key too; each range is numbered by itself, and the rows of
+    a key in the ranges before are added."""
+    ranged = written(rows.repartitionByRange(*by, *order).withColumn("range_", F.spark_partition_id()))
+    counts = ranged.groupBy(*by, "range_").agg(F.count("*").alias("rows_"))
+    before = F.sum("rows_").over(W.partitionBy(*by).orderBy("range_").rowsBetween(W.unboundedPreceding, -1))  # a row for each range
+    bases = counts.select(*(F.col(c).alias(f"{c}_by") for c in by), F.col("range_").alias("at_"), F.coalesce(before, F.lit(0)).alias("base_"))
+    own = ranged.withColumn("own_", F.row_number().over(W.partitionBy("range_", *by).orderBy(*order)))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_by")) for c in by]
+    return own.join(bases, [*same, F.col("range_") == F.col("at_")]).withColumn("n_", F.col("own_") + F.col("base_"))
+
+
+def _greedy(rows: DataFrame, group: str, order: list[str], stem: str, first: str, later: str, fold: bool) -> DataFrame:
+    """Names of rows whose stems of one group and root_ may clash: they come sorted and stream through, and what is kept
+    of a root is the set of its names, and of each stem the last number given."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, used, last = None, set(), {}
         for df in batches:
             names = []
-            for g, s in zip(df[group], df[stem]):
-                if g != now:
-                    now, used, last = g, set(), {}
+            for g, r, s in zip(df[group], df["root_"], df[stem]):
+                if (g, r) != now:
+                    now, used, last = (g, r), set(), {}
                 name, n = first.format(s), last.get(s, 1) + 1
                 while (name.lower() if fold else name) in used:
                     name, last[s], n = later.format(s, n), n, n + 1
@@ -94,7 +128,7 @@ def unique_names(rows: DataFrame, group: str, order: list[str], stem: str, first
             yield df.assign(name=names)
 
     schema = rows.withColumn("name", F.lit("")).schema
-    return rows.repartition(group).sortWithinPartitions(group, *order).mapInPandas(run, schema)
+    return rows.repartition(group, "root_").sortWithinPartitions(group, "root_", *order).mapInPandas(run, schema)
 
 
 def roi_label(name: Column, description: Column, roi: Column) -> Column:

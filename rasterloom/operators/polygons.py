@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import geometry as G
 
+from . import regions
+
 RING = "array<struct<x:double,y:double>>"
 
 
@@ -16,25 +18,24 @@ def overlaps(rings: DataFrame, cell: float) -> DataFrame:
     """a and b (a < b) of rings of which one holds a vertex of the other.
 
     Bounding boxes meet by the grid cells that they cover, an equi-join that Spark can split, and only in the first
-    cell that both cover, so that each pair comes once; then boxes and vertices decide."""
-    b = rings.select("id", "ring", G.bounds(F.col("ring")).alias("box")).where("box.x0 is not null")
+    cell that both cover, so that each pair comes once. Only ids and boxes travel with the cells; rings are fetched for
+    the pairs whose boxes meet."""
+    b = rings.select("id", G.bounds(F.col("ring")).alias("box")).where("box.x0 is not null")
     span = lambda k: F.sequence(F.floor(F.col(f"box.{k}0") / cell), F.floor(F.col(f"box.{k}1") / cell))
     cells = b.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
-    left, right = (cells.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", "ring", "box")), "cx", "cy") for s in "ab")
+    left, right = (cells.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", "box")), "cx", "cy") for s in "ab")
     first = lambda k: F.floor(F.greatest(F.col(f"box_a.{k}0"), F.col(f"box_b.{k}0")) / cell)
     near = left.join(right, ["cx", "cy"]).where("id_a < id_b").where((F.col("cx") == first("x")) & (F.col("cy") == first("y")))
-    meet = near.where("box_a.x0 <= box_b.x1 AND box_b.x0 <= box_a.x1 AND box_a.y0 <= box_b.y1 AND box_b.y0 <= box_a.y1")
+    meet = near.where("box_a.x0 <= box_b.x1 AND box_b.x0 <= box_a.x1 AND box_a.y0 <= box_b.y1 AND box_b.y0 <= box_a.y1").select("id_a", "id_b")
+    ring = lambda s: rings.select(F.col("id").alias(f"id_{s}"), F.col("ring").alias(f"ring_{s}"))
+    pairs = meet.join(ring("a"), "id_a").join(ring("b"), "id_b")
     holds = lambda r, s: F.exists(F.col(f"ring_{s}"), lambda p: G.contains(F.col(f"ring_{r}"), p["x"], p["y"]))
-    return meet.where(holds("a", "b") | holds("b", "a")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    return pairs.where(holds("a", "b") | holds("b", "a")).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
 def rasterised(rings: DataFrame, width: int, height: int) -> DataFrame:
-    """id, x and y of the pixels whose centre lies in the ring; only pixels of its bounding box are tried."""
-    b = rings.select("id", "ring", G.bounds(F.col("ring")).alias("box"))
-    span = lambda k, n: F.sequence(F.greatest(F.lit(0).cast("long"), F.floor(f"box.{k}0")), F.least(F.lit(n - 1).cast("long"), F.greatest(F.floor(f"box.{k}0"), F.floor(f"box.{k}1"))))
-    inside = b.where(f"box.x1 >= 0 AND box.y1 >= 0 AND box.x0 < {width} AND box.y0 < {height}")
-    p = inside.withColumn("x", F.explode(span("x", width))).withColumn("y", F.explode(span("y", height)))
-    return p.where(G.contains(F.col("ring"), F.col("x") + 0.5, F.col("y") + 0.5)).select("id", "x", "y")
+    """id, x and y of the pixels whose centre lies in the ring, from its crossings with the rows' centre lines."""
+    return regions.of_rings(rings, width, height).select("id", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("x"), "y")
 
 
 def _each(f):
