@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import brushes, channels, documents, editing, exports, geometry, images, imports, lifecycle, raster
+from . import brushes, channels, documents, editing, exports, geometry, images, imports, lifecycle, raster, workspace
 
-MODULES = (raster, channels, documents, geometry, exports, editing, brushes, images, imports, lifecycle)
+MODULES = (raster, channels, documents, geometry, exports, editing, brushes, images, imports, lifecycle, workspace)
 
 
 def queries() -> dict:
