@@ -151,35 +151,53 @@ FROM joined
 
 
 def licenses_sql() -> str:
-    rows = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(licenses.TEMPLATES))
+    rows = ", ".join(f"({i}, '{n}', '{t}', {len(licenses.words_of(t))}, '{' '.join(licenses.marks_of(t))}')" for i, (n, t) in enumerate(licenses.TEMPLATES))
+    every_mark = ", ".join(f"'{m}'" for m in licenses.MARKS)
+    marks = lambda ws: f"array_to_string(list_sort(list_distinct(list_filter({ws}, lambda x: list_contains([{every_mark}], x)))), ' ')"
+    words = lambda c: f"regexp_extract_all(translate({c}, '{licenses._AZ}', '{licenses._az}'), '[a-z0-9]+')"
     return f"""
-WITH templates(id, license, wording) AS (VALUES {rows}),
+WITH templates(id, license, wording, size, marks) AS (VALUES {rows}),
 template_words AS (SELECT id, unnest(regexp_extract_all(lower(wording), '[a-z0-9]+')) AS w FROM templates),
 vocabulary AS (SELECT DISTINCT w FROM template_words),
 files AS (
   SELECT CAST(doc_id AS BIGINT) AS doc_id, text, {licenses.PATH_SQL} AS path FROM documents
 ), marked AS (SELECT *, regexp_matches(path, '(^|/)(LICENSE|LICENCE|COPYING)(\\.[A-Za-z]+)?$') AS holder, regexp_replace(path, '/?[^/]*$', '') AS dir FROM files),
-document_words AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(translate(text, '{licenses._AZ}', '{licenses._az}'), '[a-z0-9]+')) AS w FROM files),
+document_words AS (SELECT DISTINCT doc_id, unnest({words("text")}) AS w FROM files),
 idf AS (
   SELECT v.w, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(d.doc_id))) + 1 AS idf
   FROM vocabulary v LEFT JOIN document_words d ON v.w = d.w GROUP BY v.w
 ), template_weights AS (
   SELECT id, w, count(*) * any_value(idf) AS x FROM template_words JOIN idf USING (w) GROUP BY id, w
 ), template_norms AS (SELECT id, sqrt(sum(x * x)) AS norm FROM template_weights GROUP BY id),
-units AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM files
-  UNION ALL SELECT doc_id, text FROM marked WHERE holder
-), numbered AS (SELECT row_number() OVER () AS u, doc_id, regexp_extract_all(translate(unit, '{licenses._AZ}', '{licenses._az}'), '[a-z0-9]+') AS ws FROM units),
-unit_words AS (SELECT u, doc_id, len(ws) AS n, unnest(ws) AS w FROM numbered),
-unit_weights AS (SELECT u, any_value(doc_id) AS doc_id, any_value(n) AS n, w, count(*) AS k, count(*) * any_value(idf) AS x FROM unit_words JOIN idf USING (w) GROUP BY u, w),
-unit_norms AS (SELECT u, any_value(doc_id) AS doc_id, sqrt(sum(x * x)) AS norm FROM unit_weights GROUP BY u HAVING sum(k) >= {licenses.SHARE} * any_value(n)),
-cosines AS (
-  SELECT n.doc_id, t.license, round(sum(a.x * b.x) / any_value(n.norm) / any_value(m.norm), 6) AS cosine
-  FROM unit_norms n JOIN unit_weights a USING (u) JOIN template_weights b ON a.w = b.w JOIN template_norms m ON m.id = b.id JOIN templates t ON t.id = b.id
-  GROUP BY n.u, n.doc_id, t.id, t.license
+lines AS (
+  SELECT doc_id, ls[i] AS unit, CASE WHEN i > 1 THEN regexp_extract(ls[i - 1], '{licenses.UNFINISHED}', 1) ELSE '' END AS before FROM (SELECT doc_id, ls, unnest(generate_series(1, len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM files))
+  UNION ALL SELECT doc_id, text, '' FROM marked WHERE holder
+), numbered AS (SELECT row_number() OVER () AS u, doc_id, {words("unit")} AS ws, {words("before")} AS bs FROM lines),
+line_words AS (SELECT u, doc_id, len(ws) AS n, {marks("list_concat(bs, ws)")} AS marks, unnest(ws) AS w FROM numbered),
+line_weights AS (SELECT u, any_value(doc_id) AS doc_id, any_value(n) AS n, any_value(marks) AS marks, w, count(*) AS k, count(*) * any_value(idf) AS x FROM line_words JOIN idf USING (w) GROUP BY u, w),
+line_norms AS (SELECT u, any_value(doc_id) AS doc_id, any_value(marks) AS marks, sqrt(sum(x * x)) AS norm FROM line_weights GROUP BY u HAVING sum(k) >= {licenses.SHARE} * any_value(n)),
+line_cosines AS (
+  SELECT n.doc_id, t.license, t.size, round(sum(a.x * b.x) / any_value(n.norm) / any_value(m.norm), 6) AS cosine
+  FROM line_norms n JOIN line_weights a USING (u) JOIN template_weights b ON a.w = b.w JOIN template_norms m ON m.id = b.id JOIN templates t ON t.id = b.id
+  WHERE n.marks = t.marks GROUP BY n.u, n.doc_id, t.id, t.license, t.size
+), by_line AS (SELECT * FROM line_cosines WHERE cosine >= {licenses.COSINE}),
+rest AS (SELECT doc_id, {words("text")} AS ws FROM files WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM by_line)),
+enough AS (
+  SELECT d.doc_id, t.id FROM rest d JOIN document_words p USING (doc_id) JOIN template_weights t ON t.w = p.w JOIN template_norms m ON m.id = t.id
+  GROUP BY d.doc_id, t.id HAVING sum(t.x * t.x) >= ({licenses.COSINE} - 1e-6) * ({licenses.COSINE} - 1e-6) * any_value(m.norm) * any_value(m.norm)
+), starts AS (
+  SELECT doc_id, t.id, t.license, t.size, t.marks AS need, ws, unnest(generate_series(1, greatest(1, len(ws) - t.size + 1))) AS i FROM enough JOIN rest USING (doc_id) JOIN templates t ON t.id = enough.id
+), windows AS (
+  SELECT doc_id, id, license, size, i, list_slice(ws, i, i + size - 1) AS own FROM starts WHERE {marks(f"list_slice(ws, greatest(i - {licenses.BEFORE}, 1), i + size - 1 + {licenses.AFTER})")} = need
+), window_words AS (SELECT doc_id, id, license, size, i, len(own) AS n, unnest(own) AS w FROM windows),
+window_weights AS (SELECT doc_id, id, any_value(license) AS license, any_value(size) AS size, i, any_value(n) AS n, w, count(*) AS k, count(*) * any_value(idf) AS x FROM window_words JOIN idf USING (w) GROUP BY doc_id, id, i, w),
+by_window AS (
+  SELECT a.doc_id, any_value(a.license) AS license, any_value(a.size) AS size, round(sum(a.x * coalesce(b.x, 0)) / sqrt(sum(a.x * a.x)) / any_value(m.norm), 6) AS cosine
+  FROM window_weights a JOIN template_norms m ON m.id = a.id LEFT JOIN template_weights b ON b.id = a.id AND b.w = a.w
+  GROUP BY a.doc_id, a.id, a.i HAVING sum(a.k) >= {licenses.SHARE} * any_value(a.n) AND round(sum(a.x * coalesce(b.x, 0)) / sqrt(sum(a.x * a.x)) / any_value(m.norm), 6) >= {licenses.COSINE}
 ), own AS (
-  SELECT doc_id, license AS own_license, cosine FROM cosines WHERE cosine >= {licenses.COSINE}
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, license DESC) = 1
+  SELECT doc_id, license AS own_license, cosine FROM (SELECT doc_id, license, size, cosine FROM by_line UNION ALL SELECT doc_id, license, size, cosine FROM by_window)
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY size DESC, cosine DESC, license DESC) = 1
 ), scanned AS (SELECT m.*, own_license, cosine FROM marked m LEFT JOIN own USING (doc_id)),
 holders AS (
   SELECT dir AS above, own_license AS license FROM scanned WHERE holder AND own_license IS NOT NULL
