@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from rasterloom.functions import geometry as G
 from rasterloom.operators import contours as C
 from rasterloom.operators import intervals as I
+from rasterloom.operators import lines as L
+from rasterloom.operators import polygons as K
 from rasterloom.operators import regions as O
 
 from .raster import MASKS, masks, table
@@ -152,3 +154,46 @@ def a22_stroke_regions(spark, sf_dir):
 @query(f"WITH a AS {_ring_pixels(0)}, b AS {_STROKE_PIXELS} SELECT DISTINCT id FROM a JOIN b USING (id, x, y)")
 def f65_touching_strokes(spark, sf_dir):
     return O.overlapping(region(spark, sf_dir, 0), O.strokes(stroke(spark, sf_dir), SIDE, SIDE))
+
+
+_VERTICES = f"SELECT vec_id AS id, k, {_entries('2 * k + 1')} AS x, {_entries('2 * k + 2')} AS y FROM (SELECT vec_id, embedding, unnest(range(24)) AS k FROM embeddings)"
+
+
+def _kept_sql(distance: str, splits: str) -> str:
+    """Vertices between two kept ones are split at the farthest; which one that is, is worked out for every pair of vertices."""
+    return f"""WITH RECURSIVE v AS ({_VERTICES}), d AS (SELECT a.id, a.k AS i, b.k AS j, p.k, {distance} AS d FROM v a JOIN v b ON a.id = b.id AND b.k > a.k JOIN v p ON p.id = a.id AND p.k > a.k AND p.k < b.k),
+  far AS (SELECT id, i, j, arg_max(k, (d, -k)) AS k FROM d GROUP BY ALL HAVING max(d) {splits} 8),
+  piece AS (SELECT DISTINCT id, CAST(0 AS BIGINT) AS i, CAST(23 AS BIGINT) AS j FROM v UNION ALL SELECT id, unnest([i, far.k]), unnest([far.k, j]) FROM piece JOIN far USING (id, i, j))
+  SELECT DISTINCT v.id, v.k, v.x, v.y FROM v JOIN piece USING (id) WHERE v.k IN (i, j)"""
+
+
+_T = "least(1, greatest(0, ((p.x - a.x) * (b.x - a.x) + (p.y - a.y) * (b.y - a.y)) / ((b.x - a.x) ** 2 + (b.y - a.y) ** 2)))"
+_TO_END = "sqrt((p.x - a.x) ** 2 + (p.y - a.y) ** 2)"
+
+
+def _lines(spark, sf_dir):
+    points = F.posexplode(F.array(*(G.point(_entry(2 * k), _entry(2 * k + 1)) for k in range(24)))).alias("k", "p")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), points).select("id", F.col("k").cast("long").alias("k"), "p.x", "p.y")
+
+
+@query(_kept_sql(f"CASE WHEN a.x = b.x AND a.y = b.y THEN {_TO_END} ELSE sqrt((p.x - a.x - {_T} * (b.x - a.x)) ** 2 + (p.y - a.y - {_T} * (b.y - a.y)) ** 2) END", ">"))
+def f55_kept_vertices(spark, sf_dir):
+    """Vertices of lines of 24 that are kept by their distance to segments."""
+    return L.simplified(_lines(spark, sf_dir), 8.0)
+
+
+@query(_kept_sql(f"CASE WHEN a.x = b.x AND a.y = b.y THEN {_TO_END} ELSE abs((b.x - a.x) * (a.y - p.y) - (a.x - p.x) * (b.y - a.y)) / sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2) END", ">="))
+def f57_kept_vertices(spark, sf_dir):
+    """The same by their distance to whole lines."""
+    return L.simplified(_lines(spark, sf_dir), 8.0, to_line=True)
+
+
+@query("""WITH p AS (SELECT DISTINCT vec_id AS id, CAST(floor(CAST(embedding[2 * k + 1] AS DOUBLE) * 100) AS BIGINT) AS x, CAST(floor(CAST(embedding[2 * k + 2] AS DOUBLE) * 100) AS BIGINT) AS y FROM (SELECT vec_id, embedding, unnest(range(8)) AS k FROM embeddings)),
+  e AS (SELECT a.id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS yb FROM p a JOIN p b ON a.id = b.id AND (a.x <> b.x OR a.y <> b.y) JOIN p r ON r.id = a.id GROUP BY ALL
+    HAVING bool_and((b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x) > 0 OR (b.x - a.x) * (r.y - a.y) = (b.y - a.y) * (r.x - a.x) AND (r.x - a.x) * (r.x - b.x) + (r.y - a.y) * (r.y - b.y) <= 0))
+  SELECT id, CAST(count(*) AS INT) AS corners, CAST(sum(ax * yb - bx * ay) AS DOUBLE) / 2 AS area FROM e GROUP BY id""")
+def f59_hull_measures(spark, sf_dir):
+    """Corners and area of convex hulls; in SQL, of all pairs of points that have the others on one side."""
+    at = lambda k: F.floor(F.get("embedding", k).cast("double") * 100)
+    h = K.hulls(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.array(*(G.point(at(2 * k), at(2 * k + 1)) for k in range(8))).alias("ring")))
+    return h.select("id", F.size("ring").alias("corners"), G.signed_area(F.col("ring")).alias("area"))
