@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import links
@@ -82,8 +82,7 @@ def outer(sized: DataFrame) -> DataFrame:
     Outer loops have a positive area; a plane without one, as where y points up, takes those with a negative area.
     The hull is what is left of the union of the filled outer loops when only the largest piece is kept: outer loops
     never cross, so that is the largest of them, the one with the smallest node among equals."""
-    plane = Window.partitionBy("plane")
-    up = F.max(F.col("area") > 0).over(plane)
-    marked = sized.withColumn("outer", F.when(up, F.col("area") > 0).otherwise(F.col("area") < 0))
-    first = F.row_number().over(plane.orderBy(F.desc("outer"), F.desc(F.abs("area")), "loop"))
-    return marked.withColumn("hull", F.col("outer") & (first == 1))
+    up = sized.groupBy("plane").agg(F.max(F.col("area") > 0).alias("up_"))
+    marked = sized.join(up, "plane").withColumn("outer", F.when(F.col("up_"), F.col("area") > 0).otherwise(F.col("area") < 0)).drop("up_")
+    best = marked.where("outer").groupBy("plane").agg(F.min_by("loop", F.struct(-F.abs("area"), "loop")).alias("best_"))
+    return marked.join(best, "plane", "left").withColumn("hull", F.coalesce(F.col("outer") & (F.col("loop") == F.col("best_")), F.lit(False))).drop("best_")
