@@ -49,11 +49,13 @@ def j06_waypoint_shapes(spark, sf_dir):
 @query("""SELECT p_partkey AS id, p_partkey AS pos, CASE WHEN p_partkey % 3 = 0 THEN 'new' ELSE p_name END AS name FROM part
   UNION ALL SELECT s_suppkey + 1000000, (SELECT max(p_partkey) FROM part) + row_number() OVER (ORDER BY s_suppkey), s_name FROM supplier""")
 def j07_overlay(spark, sf_dir):
+    """Parts and suppliers have keys of their own, whatever their numbers."""
+    key = lambda name, k: F.struct(F.lit(name).alias("of"), F.col(k).alias("k")).alias("key")
     p = table(spark, sf_dir, "part")
-    base = p.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"))
-    over = p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("id"), F.lit(0).cast("long").alias("pos"), F.lit("new").alias("name"))
-    more = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 1000000).alias("id"), F.col("s_suppkey").alias("pos"), F.col("s_name").alias("name"))
-    return I.overlaid(base, over.unionByName(more), "id")
+    base = p.select(key("part", "p_partkey"), F.col("p_partkey").alias("id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("name"))
+    over = p.where("p_partkey % 3 = 0").select(key("part", "p_partkey"), F.col("p_partkey").alias("id"), F.lit(0).cast("long").alias("pos"), F.lit("new").alias("name"))
+    more = table(spark, sf_dir, "supplier").select(key("supplier", "s_suppkey"), (F.col("s_suppkey") + 1000000).alias("id"), F.col("s_suppkey").alias("pos"), F.col("s_name").alias("name"))
+    return I.overlaid(base, over.unionByName(more), "key").drop("key")
 
 
 @query("""SELECT coalesce(r.image, c.image) AS image, coalesce(r.width, 1) AS width, coalesce(r.height, 1) AS height, coalesce(c.channels, CAST([] AS BIGINT[])) AS channels
