@@ -93,11 +93,16 @@ def parsed_points(text: Column) -> Column:
     return F.transform(F.split(F.trim(text), r"\s+"), lambda s: point(F.split(s, ",")[0].try_cast("double"), F.split(s, ",")[1].try_cast("double")))
 
 
+def length(dx: Column, dy: Column) -> Column:
+    """The root of the squares' sum: hypot() rounds otherwise, and may put the farther of two places before the nearer."""
+    return F.sqrt(dx * dx + dy * dy)
+
+
 def segment_distance(p: Column, a: Column, b: Column) -> Column:
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
     n = dx * dx + dy * dy
     t = F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((p["x"] - a["x"]) * dx + (p["y"] - a["y"]) * dy) / F.nullif(n, F.lit(0.0)))))
-    return F.hypot(p["x"] - a["x"] - t * dx, p["y"] - a["y"] - t * dy)
+    return length(p["x"] - a["x"] - t * dx, p["y"] - a["y"] - t * dy)
 
 
 def closed(ring: Column) -> Column:

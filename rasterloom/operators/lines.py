@@ -12,14 +12,16 @@ from rasterloom.sources.written import removed, written
 
 
 def _distance(to_line: bool) -> Column:
-    """Of a vertex to the segment between the ends of its piece, or to the whole line through them."""
+    """Of a vertex to the segment between the ends of its piece, or to the whole line through them.
+
+    Lengths are roots of sums of squares, as SQL has them: which of equals is the first depends on the last bit."""
     p, a, b = (G.point(F.col(f"{c}x"), F.col(f"{c}y")) for c in ("", "a", "b"))
     if not to_line:
         return G.segment_distance(p, a, b)
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     n = dx * dx + dy * dy
     across = F.abs(dx * (F.col("ay") - F.col("y")) - (F.col("ax") - F.col("x")) * dy) / F.sqrt(F.nullif(n, F.lit(0.0)))
-    return F.when(n == 0, F.hypot(F.col("x") - F.col("ax"), F.col("y") - F.col("ay"))).otherwise(across)
+    return F.when(n == 0, G.length(F.col("x") - F.col("ax"), F.col("y") - F.col("ay"))).otherwise(across)
 
 
 def simplified(vertices: DataFrame, eps: float, to_line: bool = False) -> DataFrame:
