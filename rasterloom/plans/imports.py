@@ -37,7 +37,9 @@ def _described(spark, sf_dir):
         F.lit(' Y="1"/><Polygon Points="0,0 '), n(13), F.lit(',0 3,3"/><Label X="1" Y="2"'), attribute("Text", F.col("c_mktsegment")), F.lit("/>"),
     )
     whole = F.concat(F.lit('<OME xmlns="http://www.openmicroscopy.org/Schemas/OME/2016-06"><ROI ID="ROI:'), k.cast("string"), F.lit('">'), F.when(k % 3 == 0, F.concat(F.lit("<Name>"), "c_name", F.lit("</Name>"))).otherwise(""), F.when(k % 2 == 0, F.concat(F.lit("<Union>"), body, F.lit("</Union>"))).otherwise(body), F.lit("</ROI></OME>"))
-    return table(spark, sf_dir, "customer").select("c_custkey", whole.alias("xml"))
+    # the work is in the descriptions, not in the bytes by which a file is split
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return c.select("c_custkey", whole.alias("xml"))
 
 
 _SHAPES = """(SELECT c_custkey, c_custkey AS k, c_name, c_mktsegment, pos, (ARRAY['rectangle', 'ellipse', 'line', 'point', 'polygon', 'label'])[pos + 1] AS type FROM customer CROSS JOIN range(6) t(pos)

@@ -33,16 +33,30 @@ def _bare(xml: Column) -> Column:
 
 
 def _attributes(tag: Column) -> Column:
-    """Array of (_k, _v) of the attributes of a start tag."""
+    """Array of (_k, _v) of the attributes of a start tag.
+
+    Values in which XML may mean something else than it says go through from_xml, the others are cut out as they are."""
+    name, value = r"""[A-Za-z_][\w.-]*""", r"""(?:"[^"]*"|'[^']*')"""
+    keys = F.regexp_extract_all(tag, F.lit(rf"([\w:.-]+)\s*=\s*{value}"))
+    values = F.regexp_extract_all(tag, F.lit(rf"[\w:.-]+\s*=\s*({value})"))
+    plain = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("_k"), F.trim(F.substring(v, F.lit(2), F.length(v) - 2)).alias("_v")))
     inner = F.regexp_replace(F.regexp_replace(tag, r"^<[\w.-]+", ""), r"/?>$", "")
     one = F.regexp_replace(inner, r"""([\w:.-]+)\s*=\s*("[^"]*"|'[^']*')""", '<a k="$1" v=$2/>')
-    return F.from_xml(F.concat(F.lit("<s>"), one, F.lit("</s>")), "a array<struct<_k string, _v string>>")["a"]
+    parsed = F.from_xml(F.concat(F.lit("<s>"), one, F.lit("</s>")), "a array<struct<_k string, _v string>>")["a"]
+    return F.when(tag.rlike(rf"^<[\w.-]+(?:\s+{name}={value})*\s*/?>$") & ~tag.rlike(r"^<[^&<]*[&<]|[\x00-\x1f\ufffe\uffff]"), plain).otherwise(parsed)
+
+
+def _by_name(attributes: Column) -> Column:
+    """Map of the attributes that are not empty, of equal names the first."""
+    there = F.filter(attributes, lambda a: a["_v"] != "")
+    names = F.array_distinct(F.transform(there, lambda a: a["_k"]))
+    first = F.map_from_arrays(names, F.transform(names, lambda n: F.get(F.filter(there, lambda a: a["_k"] == n), 0)["_v"]))
+    return F.when(F.size(names) == F.size(there), F.map_from_entries(there)).otherwise(first)
 
 
 def _attribute(attributes: Column, *names: str) -> Column:
-    """The first of the names that is there and not empty."""
-    found = lambda n: F.try_element_at(F.filter(attributes, lambda a: (a["_k"] == n) & (a["_v"] != "")), F.lit(1))["_v"]
-    return F.coalesce(*(found(n) for n in names))
+    """The first of the names that is there; attributes by name."""
+    return F.coalesce(*(F.try_element_at(attributes, F.lit(n)) for n in names))
 
 
 def _number(attributes: Column, *names: str) -> Column:
@@ -73,25 +87,27 @@ def shapes(rows: DataFrame, key: str, xml: str) -> DataFrame:
     """key, roi (number), roi_id, roi_name, roi_description, pos (number in the ROI) and shape, a struct of one type.
 
     x and y are a corner, a centre, an end or a place; x2 and y2 the other end; rx and ry radii; points as they are
-    written. Sizes must be positive and numbers there; polygons need points, labels a text."""
+    written. Sizes must be positive and numbers there; polygons need points, labels a text.
+
+    ROIs, elements and shapes are each made by an outer generator and looked at after it: a filter on what a projection
+    makes, or the one that Spark infers of an inner generator, would have all of it worked out once more."""
     blocks = F.regexp_extract_all(F.regexp_replace(_bare(F.col(xml)), rf"<ROI\b{_ATTRIBUTES}(?<=/)>", ""), F.lit(r"(?s)(<ROI\b.*?</ROI\s*>)"))
-    r = rows.select(F.col(key).alias("key_"), F.posexplode(blocks).alias("roi", "block"))
+    r = rows.select(F.col(key).alias("key_"), F.posexplode_outer(blocks).alias("roi", "block")).where("block is not null")
     own = _attributes(F.regexp_extract("block", rf"^(<ROI\b{_ATTRIBUTES}>)", 1))
-    said = F.from_xml(F.col("block"), "Name string, Description string")
+    said = F.when(F.col("block").rlike(r"<(?:Name|Description)\b"), F.from_xml(F.col("block"), "Name string, Description string"))
     text = lambda c: F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
     inside = F.array_join(F.regexp_extract_all("block", F.lit(rf"(?s)<Union\b{_ATTRIBUTES}>(.*?)</Union\s*>")), "")
-    r = r.select(
-        "key_",
-        "roi",
-        _attribute(own, "ID", "id").alias("roi_id"),
-        F.coalesce(text(said["Name"]), _attribute(own, "Name", "name")).alias("roi_name"),
-        text(said["Description"]).alias("roi_description"),
+    roi = F.struct(
+        _attribute(F.col("own"), "ID", "id").alias("roi_id"),
+        F.coalesce(text(F.col("said.Name")), _attribute(F.col("own"), "Name", "name")).alias("roi_name"),
+        text(F.col("said.Description")).alias("roi_description"),
         F.when(F.col("block").rlike(r"<Union\b"), inside).otherwise(F.col("block")).alias("body"),
-    ).where("roi_id is not null")
+    )
+    r = r.withColumns({"own": own, "said": said}).withColumn("own", _by_name(F.col("own"))).select("key_", "roi", F.explode_outer(F.array(roi)).alias("r")).select("key_", "roi", "r.*").where("roi_id is not null")
     each = F.regexp_extract_all("body", F.lit(rf"(?is)(<(?:{_KINDS})\b{_ATTRIBUTES}(?:(?<=/)>|>.*?</(?:{_KINDS})\s*>))"))
-    e = r.select("*", F.posexplode(each).alias("pos", "element")).drop("body")
+    e = r.select("*", F.posexplode_outer(each).alias("pos", "element")).drop("body").where("element is not null")
     e = e.withColumn("a", _attributes(F.regexp_extract("element", rf"^(<[\w.-]+\b{_ATTRIBUTES}>)", 1)))
-    e = e.withColumn("kind", F.lower(F.regexp_extract("element", r"^<(\w+)", 1)))
+    e = e.withColumn("a", _by_name(F.col("a"))).withColumn("kind", F.lower(F.regexp_extract("element", r"^<(\w+)", 1)))
     kind = lambda *k: F.col("kind").isin(*k)
     n, at = (lambda *names: _number(F.col("a"), *names)), (lambda *names: _attribute(F.col("a"), *names))
     x = F.when(kind("ellipse"), n("X", "x", "cx")).when(kind("line"), n("X1", "x1", "X")).when(kind("point", "label"), n("X", "x", "px")).otherwise(n("X", "x"))
@@ -121,9 +137,9 @@ def shapes(rows: DataFrame, key: str, xml: str) -> DataFrame:
         plane(n("TheT", "theT")).alias("the_t"),
         plane(n("TheZ", "theZ")).alias("the_z"),
     )
-    out = e.select("key_", "roi", "roi_id", "roi_name", "roi_description", "pos", shape.alias("shape"))
     needs = {"rectangle": "s.width > 0 and s.height > 0", "ellipse": "s.rx > 0 and s.ry > 0", "line": "s.x2 is not null and s.y2 is not null", "point": "true", "label": "s.text is not null"}
     valid = " or ".join(f"s.type = '{k}' and s.x is not null and s.y is not null and {v}" for k, v in needs.items()) + " or s.points is not null"
+    out = e.select("key_", "roi", "roi_id", "roi_name", "roi_description", "pos", F.explode_outer(F.array(shape)).alias("shape"))
     return out.where(valid.replace("s.", "shape.")).withColumnRenamed("key_", key)
 
 

@@ -88,3 +88,18 @@ def test_colours(spark):
     cases = {"0": [0, 0, 0, 0], "-1": [255] * 4, " 255 ": [0, 0, 0, 255], "#102030": [16, 32, 48, 255], "80102030": [4, 198, 66, 142], "FF102030": [16, 32, 48, 255], "rgb(1 2 3)": [1, 2, 3, 255], "rgba(1,2,3,200)": [1, 2, 3, 200], "rgb(1,2)": None, "rgb(a,b,c)": None, "#12": None, "": None, "zz": None}
     got = {r.t: r.c for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", rois.colour(F.col("t")).alias("c")).collect()}
     assert got == cases
+
+
+def test_nothing_is_worked_out_twice(spark):
+    """Each of the three calls of from_xml is in the plan once: a filter that Spark pushes down would repeat them."""
+    rows = spark.createDataFrame([(7, XML)], "key int, value string")
+    plan = rois.shapes(rows, "key", "value")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_xml(") <= 3
+
+
+def test_attributes(spark):
+    from pyspark.sql import functions as F
+
+    cases = {"<R X='1' Y = \"2\">": {"X": "1", "Y": "2"}, '<R X="" Y=" " Z=" a b "/>': {"Z": "a b"}, '<R X="1" X="2"/>': {"X": "1"}, '<R X="a &lt; b" Y="1"/>': {"X": "a < b", "Y": "1"}, '<R X="a\nb"/>': {"X": "a b"}, "<R X='a=\"b\"' b=\"c\">": {"X": 'a="b"', "b": "c"}, '<R X="a < b">': {}, "<R/>": {}, "": {}}
+    got = {r.t: r.a or {} for r in spark.createDataFrame([(t,) for t in cases], "t string").select("t", rois._by_name(rois._attributes(F.col("t"))).alias("a")).collect()}
+    assert got == cases
