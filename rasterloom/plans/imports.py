@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import geometry as G
 from rasterloom.sources import dicom, rois
+from rasterloom.sources.written import written
 from rasterloom.streaming import sessions as S
 
 from .raster import table
@@ -66,7 +67,7 @@ def f94_roi_shapes(spark, sf_dir):
   SELECT c_custkey, id, type, CAST(n AS INT) AS n, text, CAST(line_width AS DOUBLE) AS line_width, CAST(fill AS DOUBLE[]) AS fill, description, x, y FROM (SELECT * FROM own UNION ALL SELECT * FROM middle)""")
 def f95_viewer_shapes(spark, sf_dir):
     """Shapes as the viewer has them, with the label in the middle of each ROI; x and y: the middle of a shape's box."""
-    v = rois.viewer_shapes(rois.shapes(_described(spark, sf_dir), "c_custkey", "xml"), "c_custkey").withColumn("box", G.bounds(F.col("points")))
+    v = rois.viewer_shapes(written(rois.shapes(_described(spark, sf_dir), "c_custkey", "xml")), "c_custkey").withColumn("box", G.bounds(F.col("points")))
     return v.select("c_custkey", "id", "type", F.size("points").alias("n"), "text", "line_width", "fill", "description", F.round((F.col("box.x0") + F.col("box.x1")) / 2, 9).alias("x"), F.round((F.col("box.y0") + F.col("box.y1")) / 2, 9).alias("y"))
 
 
