@@ -74,7 +74,7 @@ def f95_viewer_shapes(spark, sf_dir):
 @query(f"""WITH s AS (SELECT k AS c_custkey, 'roi-ROI:' || k || '-Shape:' || pos AS id, pos FROM {_SHAPES} UNION ALL SELECT c_custkey, 'roi-ROI:' || c_custkey || '__import-centroid-label', 9 FROM customer)
   SELECT c_custkey, 'roi-group-ROI:' || c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN any_value(c_name) ELSE 'ROI ROI:' || c_custkey END AS name, list(s.id ORDER BY pos) AS shape_ids FROM s JOIN customer USING (c_custkey) GROUP BY c_custkey""")
 def f95_roi_groups(spark, sf_dir):
-    found = rois.shapes(_described(spark, sf_dir), "c_custkey", "xml")
+    found = written(rois.shapes(_described(spark, sf_dir), "c_custkey", "xml"))
     return rois.groups(rois.viewer_shapes(found, "c_custkey"), found, "c_custkey").drop("roi")
 
 
