@@ -85,7 +85,8 @@ def f68_rings(spark, sf_dir):
     s = rois.shapes(_described(spark, sf_dir), "c_custkey", "xml")
     v = rois.viewer_shapes(s, "c_custkey").where("pos is not null")
     ring = rois.ring(F.col("type"), F.col("points"), F.col("text"), F.lit(5.0))
-    return v.select("c_custkey", "pos", F.size(ring).alias("n"), F.round(G.area(ring), 6).alias("area"))
+    rings = v.select("c_custkey", "pos", F.explode_outer(F.array(ring)).alias("ring"))  # each ring once
+    return rings.select("c_custkey", "pos", F.size("ring").alias("n"), F.round(G.area(F.col("ring")), 6).alias("area"))
 
 
 # -- DICOM JSON
