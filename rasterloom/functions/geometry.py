@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,9 +23,15 @@ def edges(ring: Column) -> Column:
     return F.transform(ring, lambda p, i: F.struct(F.get(ring, F.pmod(i + n - 1, n)).alias("a"), p.alias("b")))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once a row, however often it is used: a function over the elements of an
+    array works its other operands out for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def signed_area(ring: Column) -> Column:
     """Half the sum of the cross products of the edges."""
-    return _sum(F.transform(edges(ring), lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2.0
+    return once(ring, lambda r: _sum(F.transform(edges(r), lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])) / 2.0)
 
 
 def area(ring: Column) -> Column:
@@ -38,8 +45,8 @@ def vertex_mean(ring: Column) -> Column:
 
 def bounds(ring: Column) -> Column:
     """x0, y0, x1, y1."""
-    xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
-    return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+    of = lambda xs, ys: F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
+    return once(ring, lambda r: of(F.transform(r, lambda p: p["x"]), F.transform(r, lambda p: p["y"])))
 
 
 def contains(ring: Column, px: Column, py: Column) -> Column:

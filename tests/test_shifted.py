@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from rasterloom.functions import geometry as G
 from rasterloom.plans import catalog
 
 from .sqlcheck import connection, differences
@@ -29,3 +31,10 @@ def test_parts_with_the_numbers_of_suppliers(spark, tmp_path, name):
 def test_vertices_that_are_nearly_as_far(spark, tmp_path, name):
     duckdb.connect().execute(f"COPY (SELECT 2833 AS vec_id, CAST({CLOSE} AS FLOAT[]) AS embedding) TO '{tmp_path}/embeddings.parquet'")
     assert not _differences(spark, tmp_path, name)
+
+
+def test_measures_work_a_ring_out_once(spark):
+    ring = F.reverse(F.col("marker"))
+    assert [str(measure(ring)).count("marker") for measure in (G.area, G.bounds)] == [1, 1]
+    found = spark.sql("SELECT array(named_struct('x', 0D, 'y', 0D), named_struct('x', 4D, 'y', 0D), named_struct('x', 4D, 'y', 3D)) AS marker UNION ALL SELECT null")
+    assert {(r.a, tuple(r.b)) for r in found.select(G.area(ring).alias("a"), G.bounds(ring).alias("b")).collect()} == {(6.0, (0.0, 0.0, 4.0, 3.0)), (None, (None,) * 4)}
