@@ -18,6 +18,17 @@ INTERSECTION: Callable[[Column, Column], Column] = lambda a, b: a & b  # noqa: E
 EXCLUSIVE: Callable[[Column, Column], Column] = lambda a, b: a != b
 
 
+#: Ends that a task sorts at once; with fewer rows than that one task is enough.
+TASK_ENDS = 1 << 20
+
+
+def dealt(rows: DataFrame, keys: Sequence[str], ends: int) -> DataFrame:
+    """rows by their keys over as many tasks as that many ends need.
+
+    Spark joins small partitions by their bytes as they are written, and sorted ends take up to twenty times those bytes."""
+    return rows.repartition(max(1, -(-ends // TASK_ENDS)), *keys)
+
+
 def _ends(rows: DataFrame, keys: Sequence[str], a: int, b: int) -> DataFrame:
     both = F.explode(F.array(F.struct(F.col("x0").alias("x"), F.lit(1).alias("d")), F.struct(F.col("x1").alias("x"), F.lit(-1).alias("d"))))
     return rows.where("x0 < x1").select(*keys, both.alias("e")).select(*keys, "e.x", (F.col("e.d") * a).alias("a"), (F.col("e.d") * b).alias("b"))
@@ -26,6 +37,7 @@ def _ends(rows: DataFrame, keys: Sequence[str], a: int, b: int) -> DataFrame:
 def combined(a: DataFrame, b: DataFrame, keys: Sequence[str], keep: Callable[[Column, Column], Column]) -> DataFrame:
     """keys, x0 and x1 of the places that keep() takes, given whether a and whether b covers them."""
     ends = _ends(a, keys, 1, 0).unionByName(_ends(b, keys, 0, 1)).groupBy(*keys, "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    ends = dealt(ends, keys, 2 * (a.count() + b.count()))  # the sets should be cheap to count, as written tables are
     along = Window.partitionBy(*keys).orderBy("x")
     covers = lambda c: F.sum(c).over(along) > 0
     inside = ends.select(*keys, "x", keep(covers("a"), covers("b")).alias("inside"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import geometry as G
+from rasterloom.sources.written import written
 
 from . import contours, intervals, links
 
@@ -22,18 +23,20 @@ def of_rings(rings: DataFrame, width: int, height: int) -> DataFrame:
     """Pixels of a width by height plane whose centre lies in the ring (id, ring), by the even-odd rule.
 
     Edges are rows: each gives its crossing with the centre line of every row that it spans, and sorted crossings of a
-    row are paired. So a ring's work grows with its outline, not with its area, and the ring itself is not copied."""
+    row are paired. So a ring's work grows with its outline, not with its area, and the ring itself is not copied. The
+    rows are written once: what is made of them reads them more than once."""
     edges = rings.select("id", F.explode(G.edges(F.col("ring"))).alias("e")).select("id", *(F.col(f"e.{p}.{c}").alias(p + c) for p in "ab" for c in "xy"))
     low, high = F.floor(F.least("ay", "by") - 0.5), F.ceil(F.greatest("ay", "by") - 0.5)
     first, last = F.greatest(low, F.lit(0).cast("long")), F.least(high, F.lit(height - 1).cast("long"))
     spans = edges.where((F.col("ay") != F.col("by")) & (first <= last)).withColumn("y", F.explode(F.sequence(first, last)))
     middle = F.col("y") + 0.5
     crossing = (F.col("ax") - F.col("bx")) * (middle - F.col("by")) / (F.col("ay") - F.col("by")) + F.col("bx")
-    found = spans.where((F.col("by") > middle) != (F.col("ay") > middle)).select(*_ROWS, crossing.alias("c"))
+    found = spans.where((F.col("by") > middle) != (F.col("ay") > middle))
     along = Window.partitionBy(*_ROWS).orderBy("c")
+    found = intervals.dealt(found.select(*_ROWS, crossing.alias("c")), _ROWS, 4 * height * rings.count())
     pairs = found.select(*_ROWS, "c", F.lead("c").over(along).alias("d"), F.row_number().over(along).alias("k")).where("k % 2 = 1")
     edge = lambda c: F.greatest(F.lit(0).cast("long"), F.least(F.lit(width).cast("long"), F.ceil(F.col(c) - 0.5)))
-    return pairs.select(*_ROWS, edge("c").alias("x0"), edge("d").alias("x1")).where("x0 < x1")
+    return written(pairs.select(*_ROWS, edge("c").alias("x0"), edge("d").alias("x1")).where("x0 < x1"))
 
 
 def of_discs(discs: DataFrame, width: int, height: int) -> DataFrame:
@@ -83,6 +86,7 @@ def edited(base: DataFrame, brush: DataFrame, mode: str) -> DataFrame:
 
 def measured(region: DataFrame) -> DataFrame:
     """id, area (pixels) and perimeter (sides of pixels) of disjoint rows."""
+    region = written(region)
     above = region.select("id", (F.col("y") + 1).alias("y"), "x0", "x1")
     flat = intervals.combined(above, region, _ROWS, intervals.EXCLUSIVE).groupBy("id").agg(F.sum(F.col("x1") - F.col("x0")).alias("flat"))
     own = region.groupBy("id").agg(F.sum(F.col("x1") - F.col("x0")).alias("area"), (2 * F.count(F.lit(1))).alias("upright"))

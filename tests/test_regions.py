@@ -158,3 +158,13 @@ def test_discs_and_rings(spark):
 
     got = pixels(O.of_rings(spark.createDataFrame(rings, "id int, ring array<struct<x:double,y:double>>"), 20, 15))
     assert got == {(i, x, y) for i, ring in rings if ring for x in range(20) for y in range(15) if inside(ring, x + 0.5, y + 0.5)}
+
+
+def test_sets_are_dealt_over_tasks_by_their_size(spark, monkeypatch):
+    rows = [(i, y, x, x + 2) for i in range(3) for y in range(10) for x in range(0, 12, 3)]
+    a = spark.createDataFrame(rows, "id long, y long, x0 long, x1 long")
+    b = spark.createDataFrame([(i, y, x0 + 1, x1 + 1) for i, y, x0, x1 in rows], "id long, y long, x0 long, x1 long")
+    monkeypatch.setattr(I, "TASK_ENDS", 40)
+    got = I.combined(a, b, ("id", "y"), I.UNION)
+    assert got.rdd.getNumPartitions() == 12  # 480 ends
+    assert sorted(map(tuple, got.collect())) == [(i, y, 0, 12) for i in range(3) for y in range(10)]
