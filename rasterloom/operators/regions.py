@@ -55,7 +55,8 @@ def of_discs(discs: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def strokes(points: DataFrame, width: int, height: int) -> DataFrame:
-    """The union of the discs of each stroke (id, x, y, r)."""
+    """The union of the discs of each stroke (id, x, y, r); discs that come again add nothing."""
+    points = intervals.dealt(points, ("id", "x", "y"), 2 * height * points.count()).dropDuplicates(["id", "x", "y", "r"])
     return intervals.united(of_discs(points, width, height), _ROWS)
 
 
