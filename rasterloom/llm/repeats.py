@@ -55,6 +55,9 @@ SLACKS = (8, 0)
 #: Bytes of text whose phrases are combined before they leave a task, and bytes of text for each bucket of phrases.
 TASK_BYTES, BUCKET_BYTES = 16 << 20, 16 << 20
 
+#: Bytes of phrases that a task hands on at once, but for a larger bucket.
+HAND_ON = 1 << 20
+
 _SLICE = 1 << 19
 _M = [T.U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -207,14 +210,22 @@ def _phrases(buckets: int):
     shift = T.U64(64 - max(1, int(buckets - 1).bit_length()))
 
     def out(parts: list[list[np.ndarray]]):
-        cols, first, again = _combined([np.concatenate(p) for p in zip(*parts)])
-        if len(again):
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - int(cols[4][again[0]]) % buckets], pa.int64()), pa.array([_packed([c[again] for c in cols])], pa.binary())], names)
-        cols = [c[first] for c in cols]
-        bucket = (cols[0] >> shift).astype(np.int64)
+        whole = [np.concatenate(p) for p in zip(*parts)]
+        parts.clear()  # nothing is held twice while rows are handed on
+        cols, first, again = _combined(whole)
+        del whole
+        step = max(1, HAND_ON // _WIDE)
+        for lo in range(0, len(again), step):
+            at = again[lo : lo + step]
+            yield pa.RecordBatch.from_arrays([pa.array([-1 - int(cols[4][at[0]]) % buckets], pa.int64()), pa.array([_packed([c[at] for c in cols])], pa.binary())], names)
+        bucket = (cols[0][first] >> shift).astype(np.int64)
         cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-        blobs = [_packed([c[x:y] for c in cols]) for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)])]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int64()), pa.array(blobs, pa.binary())], names)
+        ends = np.append(cut[1:], len(bucket))
+        group = ends // step
+        edge = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+        for lo, hi in zip(edge, [*edge[1:], len(cut)]):
+            blobs = [_packed([c[first[x:y]] for c in cols]) for x, y in zip(cut[lo:hi].tolist(), ends[lo:hi].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[lo:hi]], pa.int64()), pa.array(blobs, pa.binary())], names)
 
     def run(batches):
         parts, size = [], 0
@@ -240,6 +251,7 @@ def _origins(batches) -> Iterator[pa.RecordBatch]:
 
     def out(bucket: int, blobs: list[bytes]):
         cols = _unpacked(blobs)
+        blobs.clear()
         if bucket < 0:
             yield _again(cols, np.arange(len(cols[0])))
             return
@@ -591,12 +603,11 @@ def report(docs: DataFrame) -> DataFrame:
         dropped(own.sparkSession, t)
     some = bitmap(found.select("rk"), "rk", DOC_BITS)
 
-    def split(wanted: bool):
-        def run(batches):
-            for b in batches:
-                yield b.filter(pa.array(passes(some.value, b.column("rk").to_numpy()) == wanted))
-
-        return own.mapInArrow(run, own.schema)
+    def split(batches, wanted: bool):
+        for b in batches:
+            yield b.filter(pa.array(passes(some.value, b.column("rk").to_numpy()) == wanted))
 
-    whole = split(False).mapInArrow(_cut, RESULT)
-    return whole.unionByName(split(True).join(found, "rk", "left").select("doc_id", "text", "starts", "ends").mapInArrow(_cut, RESULT))
+    # split and cut in one step: each step of its own has a Python worker of its own, which keeps its memory
+    whole = own.mapInArrow(lambda batches: _cut(split(batches, False)), RESULT)
+    marked = own.mapInArrow(lambda batches: split(batches, True), own.schema)
+    return whole.unionByName(marked.join(found, "rk", "left").select("doc_id", "text", "starts", "ends").mapInArrow(_cut, RESULT))

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rasterloom.llm import repeats as R
@@ -83,6 +85,25 @@ def test_other_columns(spark):
     assert got(df) == brute([(r[0], r[1]) for r in rows])
 
 
+def test_rows_are_handed_on_in_small_batches():
+    rng = np.random.default_rng(3)
+    texts = [bytes(rng.integers(97, 123, 40_000).astype(np.uint8)).decode() for _ in range(100)]
+    rows = pa.RecordBatch.from_pydict({"doc": list(range(200)), "rk": list(range(200)), "text": texts * 2})
+    batches = list(R._phrases(64)(iter([rows])))
+    assert max(b.nbytes for b in batches) <= 2 << 20
+    cols = R._unpacked([x.as_py() for b in batches for x in b.column("data")])
+    first = [x.as_py() >= 0 for b in batches for x, d in zip(b.column("bucket"), b.column("data")) for _ in range(len(d.as_py()) // R._WIDE)]
+    assert sum(first) == len(set(cols[0].tolist())) and first.count(False) == first.count(True)
+    assert set(cols[4][np.array(first)].tolist()) == set(range(100))
+
+
+def test_whole_documents_need_one_python_worker_a_task(spark):
+    df = spark.createDataFrame([(1, "a" * 300), (2, "b")], "doc_id long, text string")
+    plan = R.report(df)._jdf.queryExecution().executedPlan().toString()
+    nodes = [n for n in re.findall(r"MapInArrow|Exchange|Union|\w*Scan|RDDScan|Join", plan)]
+    assert "MapInArrow" in nodes and ("MapInArrow", "MapInArrow") not in zip(nodes, nodes[1:])
+
+
 def test_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert got(df) == brute([(r.doc_id, r.text) for r in df.collect()])
