@@ -32,7 +32,7 @@ from .session import dropped, shared_dir, stored
 
 END, MAX_BITS, LANE, BLOCK_IDS = 0, 20, 1024, 1 << 16
 
-#: Pieces that a worker keeps before it starts anew; only speed depends on it.
+#: Pieces that a worker keeps before it drops those that it met once; only speed depends on it.
 KEPT_PIECES = 1 << 20
 
 #: Blocks that are decoded side by side.
@@ -89,9 +89,20 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.first, self.n = np.zeros(0, T.U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, self.dtype)
-        self.bytes, self.place, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Drops all pieces. Of each are kept: its hash; where its ids start and how many there are; where its bytes start
+        and how many there are; and whether it was met in a later slice again."""
+        self.keys, self.at, self.again = np.zeros(0, T.U64), np.zeros((0, 4), np.int64), np.zeros(0, bool)
+        self.ids, self.bytes = np.zeros(0, self.dtype), np.zeros(0, np.uint8)
+
+    def thin(self) -> None:
+        """Drops the pieces that weren't met again since the last time; all, where that leaves too many."""
+        at = self.at[self.again]
+        if 2 * len(at) > KEPT_PIECES:
+            return self.forget()
+        first, n, place, size = at.T
+        self.keys, self.again = self.keys[self.again], np.zeros(len(at), bool)
+        self.ids, self.bytes = self.ids[T.ranges(first, first + n)[0]], self.bytes[T.ranges(place, place + size)[0]]
+        self.at = np.stack([np.cumsum(n) - n, n, np.cumsum(size) - size, size], axis=1)
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -154,35 +165,34 @@ class Encoder:
         if not ((ends[first] - starts[first])[inv] == ends - starts).all() or not T.equal(buf, starts, buf, starts[first][inv], ends - starts).all():
             return None
         if len(self.keys) > KEPT_PIECES:
-            self.forget()
+            self.thin()
         slot = np.searchsorted(self.keys, keys)
         known = slot < len(self.keys)
         known[known] = self.keys[slot[known]] == keys[known]
         old, new = np.flatnonzero(known), np.flatnonzero(~known)
         size = ends[first] - starts[first]
-        if len(old) and not ((self.size[slot[old]] == size[old]).all() and T.equal(self.bytes, self.place[slot[old]], buf, starts[first[old]], size[old]).all()):
+        _, _, place, kept = self.at[slot[old]].T
+        if len(old) and not ((kept == size[old]).all() and T.equal(self.bytes, place, buf, starts[first[old]], size[old]).all()):
             return None
+        self.again[slot[old]] = True
         if len(new):
             turn, ids, n = self._encode(buf, starts[first[new]], ends[first[new]])
             own = new[turn]
-            k = np.concatenate([self.keys, keys[own]])
-            o = T.order(k)
-            self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(n) - n])[o]
-            self.n = np.concatenate([self.n, n])[o]
-            self.place = np.concatenate([self.place, len(self.bytes) + np.cumsum(size[own]) - size[own]])[o]
-            self.size = np.concatenate([self.size, size[own]])[o]
+            at = np.stack([len(self.ids) + np.cumsum(n) - n, n, len(self.bytes) + np.cumsum(size[own]) - size[own], size[own]], axis=1)
+            self.keys, self.again = np.insert(self.keys, slot[new], keys[new]), np.insert(self.again, slot[new], False)
+            self.at = np.insert(self.at, slot[new], at[np.argsort(own)], axis=0)
             self.bytes = np.concatenate([self.bytes, buf[T.ranges(starts[first[own]], ends[first[own]])[0]]])
-            self.keys, self.ids = k[o], np.concatenate([self.ids, ids])
-            slot = np.searchsorted(self.keys, keys)
+            self.ids = np.concatenate([self.ids, ids])
+            slot += np.cumsum(~known) - ~known  # the new ones before each
         of = slot[inv]
-        n = self.n[of]
+        at, n = self.at[:, 0][of], self.at[:, 1][of]
         texts = len(off) - 1
         own = np.searchsorted(off, starts, "right") - 1
         per = np.bincount(own, weights=n, minlength=texts).astype(np.int64) + 1
         out = np.full(per.sum(), END, self.dtype)
         last = np.zeros(len(out), bool)
         last[np.cumsum(per) - 1] = True
-        at, _ = T.ranges(self.first[of], self.first[of] + n)
+        at, _ = T.ranges(at, at + n)
         out[~last] = self.ids[at]
         return out, per
 
@@ -232,7 +242,7 @@ class Code:
         self.top = int(n.max(initial=1))
         step = (1 << (self.top - n)).astype(np.int64)
         self.bits[used] = (np.cumsum(step) - step) >> (self.top - n)
-        self.table = np.repeat(used, step).astype(np.uint32)
+        self.table = np.repeat(used << 5 | n, step).astype(np.uint32)  # an id and its length
         self.table = np.concatenate([self.table, np.zeros((1 << self.top) - len(self.table), np.uint32)])
 
     def encode(self, ids: np.ndarray, per: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -255,7 +265,7 @@ class Code:
 
     def decode(self, data: bytes, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The ids of all lanes one after another; each lane has its first bit and how many ids it has."""
-        buf = np.frombuffer(data + b"\0\0\0\0", np.uint8).astype(np.uint32)
+        four = np.ndarray(len(data) + 1, ">u4", data + b"\0\0\0\0", 0, (1,))  # the four bytes from each position
         out = np.zeros(int(counts.sum()), np.uint32)
         to = np.cumsum(counts) - counts
         o = np.argsort(-counts, kind="stable")
@@ -264,16 +274,15 @@ class Code:
         for k in range(int(left[0]) if len(left) else 0):
             live = int(np.searchsorted(-left, -k))
             q = p[:live]
-            b = q >> 3
-            x = (buf[b] << 24) | (buf[b + 1] << 16) | (buf[b + 2] << 8) | buf[b + 3]
-            ids = self.table[(x >> (shift - (q & 7)).astype(np.uint32)) & mask]
-            out[to[:live] + k] = ids
-            q += self.lengths[ids]
+            x = four[q >> 3].astype(np.uint32)
+            found = self.table[(x >> (shift - (q & 7)).astype(np.uint32)) & mask]
+            out[to[:live] + k] = found >> np.uint32(5)
+            q += found & np.uint32(31)
         return out
 
 
 def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and ids (little-endian, 2 bytes where the vocabulary allows) of each document."""
+    """doc_id, n_tokens, ids (little-endian, 2 bytes where the vocabulary allows) and their checksum of each document."""
 
     def run(batches):
         enc = encoder(path)
@@ -281,9 +290,10 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
             ids, per = enc(b.column("text"))
             end = np.cumsum(per) * ids.itemsize
             raw = ids.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(per, pa.int64()), pa.array([raw[x:y] for x, y in zip([0, *end.tolist()], end.tolist())], pa.binary())], ["doc_id", "n_tokens", "ids"])
+            own = [raw[x:y] for x, y in zip([0, *end.tolist()], end.tolist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(per, pa.int64()), pa.array([zlib.crc32(x) for x in own], pa.int64()), pa.array(own, pa.binary())], ["doc_id", "n_tokens", "tie", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, tie long, ids binary")
 
 
 def id_counts(ids: DataFrame, dtype) -> np.ndarray:
@@ -318,22 +328,9 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> np.ndarray:
     lengths = code_lengths(id_counts(ids, dtype))
     shared = spark.sparkContext.broadcast(lengths)
 
-    def coded(batches):
-        code = Code(shared.value)
-        for b in T.slices(batches, "ids"):
-            n = b.column("n_tokens").to_numpy()
-            raw = b.column("ids").to_pylist()
-            all_ids = np.frombuffer(b"".join(raw), dtype).astype(np.int64)
-            data, first, at = code.encode(all_ids, n)
-            lo = np.cumsum(n) - n
-            lanes = [(at[x:y:LANE] - 8 * f) for x, y, f in zip(lo, lo + n, first)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("n_tokens"), pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(lanes, pa.list_(pa.int64())), pa.array([data[x:y] for x, y in zip(first.tolist(), first[1:].tolist())], pa.binary())],
-                ["doc_id", "n_tokens", "tie", "lanes", "bits"],
-            )
-
-    ordered = ids.mapInArrow(coded, "doc_id long, n_tokens long, tie long, lanes array<long>, bits binary").repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    ordered.mapInArrow(_blocks, BLOCKS).write.parquet(f"{path}/blocks")
+    # ids are dealt before they are coded: Spark reads the rows twice, once for the bounds of the ranges
+    ordered = ids.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "n_tokens", "ids")
+    ordered.mapInArrow(lambda batches: _blocks(batches, Code(shared.value), dtype), BLOCKS).write.parquet(f"{path}/blocks")
     dropped(spark, ids)
     sizes = spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("part").agg(F.sum(F.expr("aggregate(n_tokens, 0L, (a, x) -> a + x)")).alias("n"))
     before = F.sum("n").over(Window.orderBy("part")) - F.col("n")  # a row for each part
@@ -344,21 +341,24 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> np.ndarray:
     return lengths
 
 
-def _blocks(batches) -> Iterator[pa.RecordBatch]:
+def _blocks(batches, code: Code, dtype) -> Iterator[pa.RecordBatch]:
     part, seq, before = TaskContext.get().partitionId(), 0, 0
     held: list[tuple] = []
     size = 0
 
     def block():
-        ids, n, lanes, bits = zip(*held)
-        first = np.cumsum([0, *(len(x) for x in bits)])
-        at = np.concatenate([np.asarray(x) + 8 * f for x, f in zip(lanes, first)])
-        row = [[part], [seq], [before], [list(ids)], [list(n)], [first.tolist()], [at.tolist()], [b"".join(bits)]]
+        docs, per, raw = zip(*held)
+        n = np.array(per, np.int64)
+        data, first, at = code.encode(np.frombuffer(b"".join(raw), dtype).astype(np.int64), n)
+        # every LANE-th id of each document
+        lanes = (n + LANE - 1) // LANE
+        begin = np.repeat(np.cumsum(n) - n, lanes) + (np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
+        row = [[part], [seq], [before], [list(docs)], [list(per)], [first.tolist()], [at[begin].tolist()], [data]]
         types = [pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 4, pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types)], [x.split()[0] for x in BLOCKS.split(", ")])
 
     for b in batches:
-        for x in zip(b.column("doc_id").to_pylist(), b.column("n_tokens").to_pylist(), b.column("lanes").to_pylist(), b.column("bits").to_pylist()):
+        for x in zip(b.column("doc_id").to_pylist(), b.column("n_tokens").to_pylist(), b.column("ids").to_pylist()):
             held.append(x)
             size += x[1]
             if size >= BLOCK_IDS:
@@ -366,6 +366,7 @@ def _blocks(batches) -> Iterator[pa.RecordBatch]:
                 before, seq, held, size = before + size, seq + 1, [], 0
     if held:
         yield block()
+    T._give_back()
 
 
 def read(spark, path: str) -> DataFrame:

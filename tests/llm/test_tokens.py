@@ -31,6 +31,31 @@ def test_encoder_is_the_tokenizer():
         assert got == plain(HARD)
 
 
+def test_pieces_that_come_again_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(K, "KEPT_PIECES", 60)
+    enc, met = K.Encoder(PATH), []
+    plainly = enc._encode
+    monkeypatch.setattr(enc, "_encode", lambda buf, a, b: met.extend(buf[x:y].tobytes() for x, y in zip(a, b)) or plainly(buf, a, b))
+    for k in range(20):
+        texts = ["often met words", " ".join(f"rare{k}x{j}" for j in range(25))]
+        ids, per = enc(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(per)[:-1])] == plain(texts)
+    assert met.count(b" words") == 1 and len(enc.keys) <= 100
+
+
+def test_texts_are_coded_once(spark, monkeypatch, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    class Counted(K.Code):
+        def encode(self, ids, per):
+            calls.add(len(per))
+            return super().encode(ids, per)
+
+    monkeypatch.setattr(K, "Code", Counted)
+    K.write(spark.range(500).selectExpr("id AS doc_id", "'word ' || id AS text").repartition(3), f"{tmp_path}/out", PATH)
+    assert calls.value == 500
+
+
 @pytest.mark.parametrize("limit", [4, 5, 20])
 def test_code(limit):
     rng = np.random.default_rng(limit)
