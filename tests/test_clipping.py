@@ -57,3 +57,18 @@ def test_strokes(spark):
     for r in got:
         a = C.ring_area(C._points(r.ring)[:-1])
         assert 15 * 3 < a < 15 * 4 + 4 * np.pi
+
+
+def test_centres_of_strokes_move_once(spark):
+    rows = [(k, t, float(t * 7 % 5), float(k)) for k in range(3) for t in range(200)]
+    discs = C.united(spark.createDataFrame(rows, "id long, t long, x double, y double"), 2.0)
+    plan = discs._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Exchange") < plan.rindex("HashAggregate")  # from the last step to the first
+    angle = np.arange(32) * 2 * np.pi / 32
+    disc = np.stack([np.cos(angle), np.sin(angle)], axis=1) * 2.0
+    got = {r.id: C._points(r.ring) for r in discs.collect()}
+    for k in range(3):
+        want = disc + (0.0, k)
+        for x in (2.0, 4.0, 1.0, 3.0):
+            want = C.outline(C.clipped(want, disc + (x, k), "union"))[:-1]
+        assert np.array_equal(got[k][:-1], want)
