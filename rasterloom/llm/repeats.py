@@ -43,8 +43,9 @@ from .session import dropped, stored
 
 LENGTH, WIDTH = 100, 32
 
-#: Bits of the filters of anchors, of places and of documents.
+#: Bits of the filters of anchors, of places and of documents: at least so many, and KEY_BITS a key up to 2^MOST_BITS.
 ANCHOR_BITS, PLACE_BITS, DOC_BITS = 26, 26, 22
+KEY_BITS, MOST_BITS = 16, 29
 
 #: Different phrases of an anchor, and bytes of phrases, that go into one shard.
 SHARD_CONTEXTS, SHARD_BYTES = 4096, 1 << 19
@@ -146,6 +147,10 @@ class Anchors:
         self.first, self.count, self.at, self.owner, self.fp = first, count, at, self.owner[owner], T.mix(core ^ (part + slack * LENGTH).astype(T.U64))
 
 
+def _bits(least: int, keys: int) -> int:
+    return max(least, min(MOST_BITS, (KEY_BITS * keys).bit_length()))
+
+
 def _place(rk: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return T.mix(rk.view(T.U64) + pos.astype(T.U64) * _M[0])
 
@@ -472,36 +477,42 @@ def _shard(keys: list[tuple[int, int]], data: list[bytes]) -> pa.RecordBatch:
     return _mark_rows(rk[o], p[edge] + base, p[ends] + base + LENGTH)
 
 
-def _indexed(batches) -> Iterator[pa.RecordBatch]:
-    """Marks of phrases that come sorted by anchor and, within one, by document and position. Of equal phrases the first
-    goes into the index; the others repeat as a whole."""
-    keys, data, again = [], [], []
-    size, now, seen = 0, None, set()
-    for b in batches:
-        for fp, rk, pos, d in zip(*(b.column(c).to_pylist() for c in ("fp", "rk", "pos", "bytes"))):
-            if fp != now:
-                if size >= SHARD_BYTES:
-                    yield _shard(keys, data)
-                    keys, data, size = [], [], 0
-                now, seen = fp, set()
-            if d in seen:
-                again.append((rk, pos, len(d)))
-            else:
-                seen.add(d)
-                keys.append((rk, pos))
-                data.append(d)
-                size += len(d)
-        if again:
-            rk, pos, n = (np.array(c, np.int64) for c in zip(*again))
-            yield _mark_rows(rk, pos, pos + n)
-            again = []
-    if data:
-        yield _shard(keys, data)
-    T._give_back()
-
+def _shards(whole: bool):
+    """Marks of phrases, or of pieces, that come sorted by anchor and, within one, by document and position. Of equal ones
+    the first goes into the index. The others repeat as a whole: phrases have their marks from ``_origins``, where all equal
+    ones met, and pieces get them here. Rows of one place are one."""
 
-def _by_key(pieces: DataFrame) -> DataFrame:
-    return pieces.repartition("fp").sortWithinPartitions("fp", "doc", "rk", "pos").mapInArrow(_indexed, MARKS)
+    def _indexed(batches) -> Iterator[pa.RecordBatch]:
+        keys, data, again = [], [], []
+        size, now, seen, place = 0, None, set(), None
+        for b in batches:
+            for fp, rk, pos, d in zip(*(b.column(c).to_pylist() for c in ("fp", "rk", "pos", "bytes"))):
+                if fp != now:
+                    if size >= SHARD_BYTES:
+                        yield _shard(keys, data)
+                        keys, data, size = [], [], 0
+                    now, seen, place = fp, set(), None
+                if d not in seen:
+                    seen.add(d)
+                    keys.append((rk, pos))
+                    data.append(d)
+                    size += len(d)
+                elif not whole and (rk, pos) != place:
+                    again.append((rk, pos, len(d)))
+                place = rk, pos
+            if again:
+                rk, pos, n = (np.array(c, np.int64) for c in zip(*again))
+                yield _mark_rows(rk, pos, pos + n)
+                again = []
+        if data:
+            yield _shard(keys, data)
+        T._give_back()
+
+    return _indexed
+
+
+def _by_key(pieces: DataFrame, whole: bool) -> DataFrame:
+    return pieces.repartition("fp").sortWithinPartitions("fp", "doc", "rk", "pos").mapInArrow(_shards(whole), MARKS)
 
 
 def marks(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -515,29 +526,34 @@ def marks(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     origins = found.where("rk IS NULL").select("fp", "place")
     phrases = stored(origins.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1"))
     tables.append(phrases)
-    anchors, places = bitmap(phrases, "fp", ANCHOR_BITS), bitmap(origins, "place", PLACE_BITS)
+    met = phrases.agg(F.count("*").alias("anchors"), F.coalesce(F.sum("n"), F.lit(0)).alias("places"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
+    anchors = bitmap(phrases, "fp", _bits(ANCHOR_BITS, met["anchors"]))
+    # the places of shared anchors only: with all of them the share of others that pass would grow with the table
+    places = bitmap(_passed(origins, "fp", anchors), "place", _bits(PLACE_BITS, met["places"]))
     large, slack, still = phrases.where(F.col("n") > SHARD_CONTEXTS), None, None
-    if not large.take(1):
-        return out.unionByName(_by_key(_bytes(docs, anchors, places))), tables
+    if met["most"] <= SHARD_CONTEXTS:
+        return out.unionByName(_by_key(_bytes(docs, anchors, places), True)), tables
     large = bitmap(large, "fp", ANCHOR_BITS)
-    out = out.unionByName(_by_key(_bytes(docs, anchors, places, large)))
+    out = out.unionByName(_by_key(_bytes(docs, anchors, places, large), True))
     for slack in SLACKS:
         pieces = stored(_bytes(docs, anchors, places, large, slack, still))
         tables.append(pieces)
         if slack != SLACKS[-1]:
             many = pieces.groupBy("fp").agg(F.approx_count_distinct("bytes").alias("n")).where(F.col("n") > SHARD_CONTEXTS)
             still = bitmap(many, "fp", ANCHOR_BITS)
-            pieces = _not_in(pieces, still)
-        out = out.unionByName(_by_key(pieces))
+            pieces = _passed(pieces, "fp", still, False)
+        out = out.unionByName(_by_key(pieces, False))
     return out, tables
 
 
-def _not_in(pieces: DataFrame, filtered) -> DataFrame:
+def _passed(df: DataFrame, key: str, filtered, wanted: bool = True) -> DataFrame:
+    """The rows whose key passes the filter, or those that it keeps out."""
+
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array(~passes(filtered.value, b.column("fp").to_numpy())))
+            yield b.filter(pa.array(passes(filtered.value, b.column(key).to_numpy()) == wanted))
 
-    return pieces.mapInArrow(run, PIECES)
+    return df.mapInArrow(run, df.schema)
 
 
 def _merged(batches) -> Iterator[pa.RecordBatch]:
@@ -601,7 +617,7 @@ def report(docs: DataFrame) -> DataFrame:
     found = stored(ranges.mapInArrow(_merged, "rk long, starts array<long>, ends array<long>"))
     for t in tables:
         dropped(own.sparkSession, t)
-    some = bitmap(found.select("rk"), "rk", DOC_BITS)
+    some = bitmap(found.select("rk"), "rk", _bits(DOC_BITS, found.count()))
 
     def split(batches, wanted: bool):
         for b in batches:

@@ -104,6 +104,42 @@ def test_whole_documents_need_one_python_worker_a_task(spark):
     assert "MapInArrow" in nodes and ("MapInArrow", "MapInArrow") not in zip(nodes, nodes[1:])
 
 
+@pytest.mark.parametrize("most", [1, 4096])
+def test_rows_of_one_place_do_not_repeat_each_other(spark, most, monkeypatch):
+    monkeypatch.setattr(R, "SHARD_CONTEXTS", most)
+    rng = random.Random(8)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = [say(90) for _ in range(30)]  # anchors meet, strings do not
+    docs = [(k, say(40).join(shared)) for k in range(1, 4)]
+    docs += docs[:2] * 2
+    assert got(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)) == brute(docs)
+
+
+def test_full_filters_mark_nothing_twice(spark, monkeypatch):
+    for name in ("ANCHOR_BITS", "PLACE_BITS", "MOST_BITS"):
+        monkeypatch.setattr(R, name, 9, raising=False)
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    p = say(2000)
+    docs = [(k, p) for k in range(40)] + [(100 + k, p[:1000] + say(20) + p[1000:]) for k in range(5)]
+    df = spark.createDataFrame([(d, d, t) for d, t in docs], "doc long, rk long, text string").repartition(4)
+    ranges = [tuple(r)[:3] for r in R.marks(df)[0].collect()]
+    assert len(ranges) == len(set(ranges))
+    assert got(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
+
+
+def test_other_places_do_not_let_copies_pass(spark, monkeypatch):
+    monkeypatch.setattr(R, "PLACE_BITS", 12)
+    sent, by_key = [], R._by_key
+    monkeypatch.setattr(R, "_by_key", lambda pieces, *more: (sent.append(pieces.count()), by_key(pieces, *more))[1])
+    rng = random.Random(10)
+    say = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    p, q = say(150), say(150)
+    docs = [(0, p + q), (1, p + say(5) + q)] + [(k, p + q) for k in range(2, 300)] + [(k, say(2000)) for k in range(300, 800)]
+    R.marks(spark.createDataFrame([(d, d, t) for d, t in docs], "doc long, rk long, text string"))
+    assert sum(sent) < 100
+
+
 def test_whole_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert got(df) == brute([(r.doc_id, r.text) for r in df.collect()])
