@@ -529,7 +529,8 @@ def marks(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     met = phrases.agg(F.count("*").alias("anchors"), F.coalesce(F.sum("n"), F.lit(0)).alias("places"), F.coalesce(F.max("n"), F.lit(0)).alias("most")).first()
     anchors = bitmap(phrases, "fp", _bits(ANCHOR_BITS, met["anchors"]))
     # the places of shared anchors only: with all of them the share of others that pass would grow with the table
-    places = bitmap(_passed(origins, "fp", anchors), "place", _bits(PLACE_BITS, met["places"]))
+    shared = _passed(origins, "fp", anchors).join(phrases.select("fp").hint("merge"), "fp", "left_semi")
+    places = bitmap(shared, "place", _bits(PLACE_BITS, met["places"]))
     large, slack, still = phrases.where(F.col("n") > SHARD_CONTEXTS), None, None
     if met["most"] <= SHARD_CONTEXTS:
         return out.unionByName(_by_key(_bytes(docs, anchors, places), True)), tables
