@@ -15,34 +15,39 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rasterloom.llm import decontaminate, jaccard, mixing, quality, queries, tokens
-from rasterloom.llm.session import stored
+from rasterloom.llm.session import bounded_batches, stored
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor the learned decision list rejects."""
+    bounded_batches(spark)
     return quality.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of near duplicates."""
+    bounded_batches(spark)
     return jaccard.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    bounded_batches(spark)
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says, so that the domains reach their target weights."""
+    bounded_batches(spark)
     labelled = queries.labelled_domains(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return mixing.taken(docs, labelled, queries.TARGETS)
 
 
 def token_blocks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each document lies in the written blocks of token ids, read back from them."""
+    bounded_batches(spark)
     return tokens.report(docs, TOKENIZER)
 
 

@@ -36,6 +36,9 @@ BLOCK_WORDS = 200_000
 #: Bytes of training text in one suffix array.
 SHARD_BYTES = 8 << 20
 
+#: Words that are hashed at once, since hashing needs several times their bytes.
+HASHED_WORDS = 1 << 17
+
 
 class Probes:
     """The suffixes of a block of benchmark items."""
@@ -140,8 +143,9 @@ def _sequence(col) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, Call
     owner = np.repeat(np.arange(len(n)), n)
     h = np.zeros(len(starts) + len(n), T.U64)
     to = np.arange(len(starts)) + owner
-    if len(starts):
-        h[to] = T.hashes(buf, starts, ends, fold=True)
+    for lo in range(0, len(starts), HASHED_WORDS):
+        a, b = starts[lo : lo + HASHED_WORDS], ends[lo : lo + HASHED_WORDS]
+        h[to[lo : lo + HASHED_WORDS]] = T.hashes(buf[a[0] : b[-1]], a - a[0], b - a[0], fold=True)
     owners = np.repeat(np.arange(len(n)), n + 1)
 
     def more(at: np.ndarray) -> np.ndarray:

@@ -202,6 +202,13 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _forgotten() -> None:
+    """Drops the tokenizers and pieces of a worker that lives on and now codes or decodes ids."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        T._give_back()
+
+
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     """Optimal code lengths of at most ``limit`` bits by package-merge; 0 for what doesn't occur."""
     out = np.zeros(len(counts), np.int64)
@@ -342,6 +349,7 @@ def write(docs: DataFrame, path: str, tokenizer: str) -> np.ndarray:
 
 
 def _blocks(batches, code: Code, dtype) -> Iterator[pa.RecordBatch]:
+    _forgotten()
     part, seq, before = TaskContext.get().partitionId(), 0, 0
     held: list[tuple] = []
     size = 0
@@ -379,6 +387,7 @@ def read(spark, path: str) -> DataFrame:
     shared = spark.sparkContext.broadcast((lengths, base))
 
     def run(batches):
+        _forgotten()
         lens, bases = shared.value
         code = Code(lens)
         for b in batches:

@@ -1,11 +1,15 @@
 import hashlib
 import re
+import tracemalloc
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from rasterloom.llm import decontaminate as D
 from rasterloom.llm import queries
+from rasterloom.llm import text as T
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -100,3 +104,18 @@ def test_blocks_come_one_by_one(spark, monkeypatch):
     i = d.withColumnRenamed("doc_id", "item_id")
     assert {r.doc_id: (len(r.hits), r.hits[0].item_id) for r in D.matches(d, i, block_words=12).collect()} == {k: (1, k) for k in range(5)}
     assert seen == [2, 3, 4, 5]
+
+
+def test_hashing_needs_a_bounded_part_of_the_words_at_once():
+    words = [f"w{i % 5000}" + "x" * (i % 13) for i in range(400_000)]
+    text = pa.array([" ".join(words[lo : lo + 777]) for lo in range(0, len(words), 777)])
+    tracemalloc.start()
+    h, owner, first, n, more = D._sequence(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    buf, off = T.buffer(text)
+    starts, ends = T.words(buf, T.ALNUM)
+    at = np.flatnonzero(h)
+    assert n.sum() == len(at) == len(words) and (h[at] == T.hashes(buf, starts, ends, fold=True)).all()
+    assert (more(at) == T.hashes(buf, starts, ends, fold=True, family=1)).all()
+    assert peak < 40_000_000

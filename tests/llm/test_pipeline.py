@@ -2,10 +2,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from rasterloom.llm import mixing, quality, queries
+from rasterloom.llm import mixing, quality, queries, session
 
 from .test_decontaminate import brute as leaks
 from .test_jaccard import brute as classes
@@ -90,3 +91,24 @@ def test_empty_tables(spark, tmp_path):
     row = [(1, text, *range(len(CLASHES)))]
     assert [r.doc_id for r in P.run(spark, crafted(spark, tmp_path / "a", row, [], [])).collect()] == [1]
     assert P.run(spark, crafted(spark, tmp_path / "b", [], [(1, 1, 0)], [(1, text)])).count() == 0
+
+
+def test_batches_of_long_texts_are_bounded_in_every_stage(spark, tmp_path):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    sf = crafted(spark, tmp_path, [(i, "word " * 20_000, *range(len(CLASHES))) for i in range(120)], [], [])
+    docs = spark.read.parquet(f"{sf}/documents.parquet").coalesce(1)
+    before = spark.conf.get(session.BATCH_SETTING)
+    try:
+        for name, stage in P.STAGES:
+            spark.conf.set(session.BATCH_SETTING, "67108864")
+            stage(spark, docs, sf)
+            got = docs.select("doc_id", "text").mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r.n for r in got) == 120 and max(r.size for r in got) < 5 << 20, name
+            spark.conf.set(session.BATCH_SETTING, "1m")
+            stage(spark, docs, sf)
+            assert spark.conf.get(session.BATCH_SETTING) == "1m", name
+    finally:
+        spark.conf.set(session.BATCH_SETTING, before)

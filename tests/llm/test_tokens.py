@@ -111,3 +111,13 @@ def test_folder_is_read_without_anything_else(spark, tmp_path):
     assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
     assert spark.read.parquet(f"{tmp_path}/out/about").first()["tokenizer"] == "byte_bpe_50k.json"
     assert sorted(os.listdir(f"{tmp_path}/out")) == ["about", "blocks", "code", "parts"]
+
+
+def test_workers_that_code_or_decode_keep_no_tokenizer(monkeypatch):
+    class Context:
+        get = staticmethod(lambda: Context)
+        partitionId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(K, "TaskContext", Context)
+    K.encoder(PATH)
+    assert not list(K._blocks([], K.Code(np.zeros(1, np.int64)), np.uint16)) and K.encoder.cache_info().currsize == 0
