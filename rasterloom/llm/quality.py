@@ -5,7 +5,7 @@ sequential covering: a conjunction of thresholds is grown on two thirds of them,
 third, and the rows that it covers are set aside before the next. The list is applied as one ordered
 Spark conditional expression.
 
-Edge cases: a null or empty text has no words and fails the base rule; a document with several labels
+Edge cases: a null or empty text has no words, fails the base rule and is not judged by the list; a document with several labels
 takes the lowest; labels of unknown documents and null labels are ignored; without labels the list is
 empty and only the base rule decides; repeated rows are judged alike; an empty table gives no rows; very long
 texts are worked on alone; other columns pass through kept(), whatever their names, and report() doesn't read them.
@@ -205,8 +205,9 @@ def learn(x: dict[str, np.ndarray], bad: np.ndarray, part: np.ndarray) -> list[R
 
 
 def expression(rules: list[Rule], col=F.col) -> Column:
-    """The list as an ordered conditional expression: true where a rule rejects."""
-    out = F
+    """The list as an ordered conditional expression: true where a rule rejects. Features divide by words, so texts without
+    any come first and no rule judges them."""
+    out = F.when(col("n_words") == 0, F.lit(False))
     for rule in rules:
         tests = [FEATURES[f](col) >= t if op == ">=" else FEATURES[f](col) <= t for f, op, t in rule]
         out = out.when(reduce(lambda a, b: a & b, tests), F.lit(True))

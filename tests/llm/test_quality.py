@@ -52,3 +52,20 @@ def test_whole_table_and_accuracy(spark):
     got = Q.report(docs, train).join(labels.where("doc_id % 4 = 0"), "doc_id").collect()
     judged = [r for r in got if not r.base_failed]
     assert sum(r.rejected == (r.quality == 0) for r in judged) / len(judged) > 0.9
+
+
+def test_texts_without_words_under_rules(spark):
+    """Every feature is a quotient; rules that use them meet texts without words."""
+    docs = [(k, "a b c " * 40 if k % 2 else " ".join(f"w{k}x{j}" for j in range(120))) for k in range(400)]
+    odd = [(1000, None), (1001, ""), (1002, " \n\t\x0b")]
+    d = spark.createDataFrame(docs + odd, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, 0 if k % 2 else 1) for k, _ in docs] + [(k, 0) for k, _ in odd], "doc_id long, quality int")
+    rules = Q.rules_of(d, labels)
+    assert rules
+    every = [[(f, op, 0.0)] for f in Q.FEATURES for op in (">=", "<=")]
+    for r in (rules, every):
+        c = Q.counted(d).select("doc_id", "__counts.*").withColumn("rejected", Q.expression(r))
+        assert {x.doc_id: x.rejected for x in c.where("doc_id >= 1000").collect()} == {1000: False, 1001: False, 1002: False}
+    check(Q.report(d, labels), docs + odd)
+    assert not [r for r in Q.report(d, labels).collect() if r.doc_id >= 1000 and (r.kept or not r.base_failed)]
+    assert Q.kept(d, labels).where("doc_id >= 1000").count() == 0
